@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN_RX, WORD_RX
+from ..functions import rng
+from ..functions.text import TOKEN_RX, WORD_RX, token_array
 from ..operators import text as T
 from ..session import table
 
@@ -33,6 +34,11 @@ class Params:
 
 P = Params()
 
+# The confusable words of the preposition task, in class order.
+CONFUSABLES = ("of", "to", "in", "for", "on", "with", "by", "at", "from")
+SENT_FACTOR = 100_000     # sent_id = doc_id * SENT_FACTOR + line
+PAIR_FACTOR = 100_000     # pair_id = sent_id * PAIR_FACTOR + position
+
 # ---------------------------------------------------------------------------
 # Spark side
 # ---------------------------------------------------------------------------
@@ -65,6 +71,48 @@ class Fx:
         return self._get("vocab", lambda: T.top_terms(
             T.prune_rare(T.term_freq(self.words()), P.min_freq), P.max_features))
 
+    def vocab_ids(self):
+        """Literal term -> id+1 map (0 stays "unknown"); bounded by max_features."""
+        return self._get("vocab_ids", lambda: T.id_map(
+            self.vocab().select("term", (F.col("term_id") + 1).alias("term_id")), P.max_features))
+
+    def sents(self) -> DataFrame:
+        """English lines as id sequences: ``(sent_id, toks, sent, len)``."""
+        def build():
+            ids = self.vocab_ids()
+            lines = (self.t("documents").filter(F.col("lang") == "en")
+                     .select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l")))
+            toks = token_array(F.col("l"))
+            return (lines.select((F.col("doc_id") * SENT_FACTOR + F.col("line")).alias("sent_id"),
+                                 toks.alias("toks"))
+                    .filter(F.size("toks") > 0)
+                    .withColumn("sent", F.transform("toks", lambda t: F.coalesce(F.element_at(ids, t), F.lit(0))))
+                    .withColumn("len", F.size("toks")))
+        return self._get("sents", build)
+
+    def pairs(self) -> DataFrame:
+        """Each confusable occurrence (is_error false) and a copy whose word is
+        replaced by a different confusable picked by hash (is_error true)."""
+        def build():
+            ids = self.vocab_ids()
+            conf = F.array(*[F.lit(c) for c in CONFUSABLES])
+            occ = (self.sents()
+                   .select("sent_id", "sent", "len", F.posexplode("toks").alias("position", "original"))
+                   .filter(F.col("original").isin(*CONFUSABLES)))
+            pid = F.col("sent_id") * PAIR_FACTOR + F.col("position")
+            other = F.element_at(F.array_except(conf, F.array(F.col("original"))),
+                                 (rng.pick(len(CONFUSABLES) - 1, P.seed, "swap", pid) + 1).cast("int"))
+            two = occ.withColumn("pair_id", pid).withColumn("is_error", F.explode(F.array(F.lit(False), F.lit(True))))
+            cur = F.when(F.col("is_error"), other).otherwise(F.col("original"))
+            out = (two.withColumn("current", cur)
+                   .withColumn("original_code", (F.array_position(conf, F.col("original")) - 1).cast("int"))
+                   .withColumn("current_code", (F.array_position(conf, F.col("current")) - 1).cast("int"))
+                   .withColumn("sent", F.transform("sent", lambda x, i: F.when(
+                       i == F.col("position"), F.coalesce(F.element_at(ids, F.col("current")), F.lit(0))).otherwise(x))))
+            return out.select("pair_id", "is_error", "sent_id", "position", "original", "current",
+                              "original_code", "current_code", "sent", "len")
+        return self._get("pairs", build)
+
 
 # ---------------------------------------------------------------------------
 # DuckDB side
@@ -89,6 +137,38 @@ FIX_SQL: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+_CONF_SQL = "[" + ", ".join(f"'{c}'" for c in CONFUSABLES) + "]"
+
+FIX_SQL.update({
+    "vocab_ids": (("vocab",), "SELECT term, term_id + 1 AS id FROM vocab"),
+    "sents": ((), f"""
+        SELECT sent_id, toks FROM (
+          SELECT doc_id * {SENT_FACTOR} + line AS sent_id, regexp_extract_all(lower(l), {sql_lit(TOKEN_RX)}, 0) AS toks
+          FROM (SELECT doc_id, unnest(ls) AS l, CAST(unnest(range(len(ls))) AS BIGINT) AS line
+                FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE lang = 'en')))
+        WHERE len(toks) > 0"""),
+    "sent_tok": (("sents",), "SELECT sent_id, unnest(toks) AS tok, CAST(unnest(range(len(toks))) AS INT) AS i FROM sents"),
+    "sent_ids": (("sent_tok", "vocab_ids"), """
+        SELECT s.sent_id, list(coalesce(v.id, 0) ORDER BY s.i) AS sent, CAST(count(*) AS INT) AS len
+        FROM sent_tok s LEFT JOIN vocab_ids v ON s.tok = v.term GROUP BY s.sent_id"""),
+    "pairs": (("sent_tok", "sent_ids", "vocab_ids"), f"""
+        SELECT o.pair_id, e.is_error, o.sent_id, o.position, o.original, c.current,
+               CAST(list_position({_CONF_SQL}, o.original) - 1 AS INT) AS original_code,
+               CAST(list_position({_CONF_SQL}, c.current) - 1 AS INT) AS current_code,
+               list_transform(si.sent, lambda x, i: CASE WHEN i - 1 = o.position THEN coalesce(vi.id, 0) ELSE x END) AS sent,
+               si.len
+        FROM (SELECT sent_id, i AS position, tok AS original, sent_id * {PAIR_FACTOR} + i AS pair_id
+              FROM sent_tok WHERE tok IN {tuple(CONFUSABLES)}) o
+        CROSS JOIN (SELECT unnest([false, true]) AS is_error) e
+        CROSS JOIN LATERAL (SELECT CASE WHEN e.is_error THEN
+             list_filter({_CONF_SQL}, lambda x: x <> o.original)[
+               CAST({rng.u32_sql(P.seed, 'swap', 'o.pair_id')} % {len(CONFUSABLES) - 1} AS INT) + 1]
+             ELSE o.original END AS current) c
+        JOIN sent_ids si ON si.sent_id = o.sent_id
+        LEFT JOIN vocab_ids vi ON vi.term = c.current"""),
+})
+
+
 def register_fixture_sql(name: str, deps: tuple[str, ...], body: str) -> None:
     FIX_SQL[name] = (deps, body)
 
