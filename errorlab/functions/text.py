@@ -67,46 +67,69 @@ def u32_sql(dialect: str, seed, salt, *keys: str) -> str:
 #   transpose swap position p = max(1, r) with a neighbour: p-1 when p is the
 #             last position, otherwise p-1 or p+1 by a coin; strings made of one
 #             repeated character are left unchanged
-# r, the letter and the coin are keyed draws: (seed, salt, keys..., step).
+# r, the letter and the coin are keyed draws: (seed, salt, keys..., step),
+# materialised as three columns per step so each hash is computed once.
 # ---------------------------------------------------------------------------
 
-def _draws(dialect, seed, tag, keys, step):
-    ks = list(keys) + [str(step)]
-    r = f"({u32_sql(dialect, seed, tag + ':pos', *ks)} % greatest(length(@ACC@), 1))"
-    ch = f"substr('{LETTERS}', CAST({u32_sql(dialect, seed, tag + ':ch', *ks)} % 26 AS INT) + 1, 1)"
-    coin = f"({u32_sql(dialect, seed, tag + ':dir', *ks)} % 2)"
-    return r, ch, coin
+def draw_columns(tag: str, step: int) -> tuple[str, str, str]:
+    """Names of the three per-step draw columns (position, letter, coin)."""
+    return f"_r_{tag}{step}", f"_c_{tag}{step}", f"_d_{tag}{step}"
 
 
-def step_sql(op: str, acc: str, dialect: str, seed, tag: str, keys, step: int) -> str:
-    """SQL for one corruption step of operator ``op`` (literal name) on ``acc``."""
-    r, ch, coin = _draws(dialect, seed, tag, keys, step)
+def draw_sql(dialect: str, seed, tag: str, keys, step: int) -> list[tuple[str, str]]:
+    """``(name, expression)`` of the raw 32-bit draws of one step."""
+    ks = list(keys) + [str(step)]
+    r, c, d = draw_columns(tag, step)
+    return [(r, u32_sql(dialect, seed, tag + ":pos", *ks)),
+            (c, u32_sql(dialect, seed, tag + ":ch", *ks)),
+            (d, u32_sql(dialect, seed, tag + ":dir", *ks))]
+
+
+def prep_levels(acc: str, tag: str, step: int) -> list[list[tuple[str, str]]]:
+    """Per-step helper columns, in dependency order (one projection per level).
+
+    _q  insert position r mod len        _ch  drawn letter        _len  len(acc)
+    _p  max(1, _q)                        _nb  neighbour for transpose
+    Keeping them as columns keeps each step expression small (no repeated
+    arithmetic inside CASE branches) and inside one generated method.
+    """
+    rc, cc, dc = draw_columns(tag, step)
+    q, ch, ln, p, nb = (f"_{x}_{tag}{step}" for x in ("q", "ch", "len", "p", "nb"))
+    return [
+        [(ln, f"length({acc})"),
+         (q, f"CAST({rc} % greatest(length({acc}), 1) AS INT)"),
+         (ch, f"substr('{LETTERS}', CAST({cc} % 26 AS INT) + 1, 1)")],
+        [(p, f"greatest(1, {q})")],
+        [(nb, f"CASE WHEN {p} = {ln} - 1 THEN {p} - 1 WHEN {dc} % 2 = 1 THEN {p} + 1 ELSE {p} - 1 END")],
+    ]
+
+
+def prep_columns(tag: str, step: int) -> list[str]:
+    return [f"_{x}_{tag}{step}" for x in ("q", "ch", "len", "p", "nb")]
+
+
+def step_sql(op: str, acc: str, tag: str, step: int) -> str:
+    """SQL for one corruption step of operator ``op`` (literal name) on ``acc``;
+    draws and positions are read from the helper columns of ``prep_levels``."""
+    q, ch, ln, p, nb = prep_columns(tag, step)
+    a = f"({acc})"
     if op == "insert":
-        body = f"substr(@ACC@, 1, CAST({r} AS INT)) || {ch} || substr(@ACC@, CAST({r} AS INT) + 1)"
-    elif op == "delete":
-        p = f"CAST(greatest(1, {r}) AS INT)"
-        body = f"substr(@ACC@, 1, {p} - 1) || substr(@ACC@, {p} + 1)"
-    elif op == "replace":
-        p = f"CAST(greatest(1, {r}) AS INT)"
-        body = f"substr(@ACC@, 1, {p} - 1) || {ch} || substr(@ACC@, {p} + 1)"
-    elif op == "transpose":
-        p = f"CAST(greatest(1, {r}) AS INT)"
-        nb = f"(CASE WHEN {p} = length(@ACC@) - 1 THEN {p} - 1 WHEN {coin} = 1 THEN {p} + 1 ELSE {p} - 1 END)"
+        return f"substr({a}, 1, {q}) || {ch} || substr({a}, {q} + 1)"
+    if op == "delete":
+        return f"substr({a}, 1, {p} - 1) || substr({a}, {p} + 1)"
+    if op == "replace":
+        return f"substr({a}, 1, {p} - 1) || {ch} || substr({a}, {p} + 1)"
+    if op == "transpose":
         lo, hi = f"least({p}, {nb})", f"greatest({p}, {nb})"
-        body = (f"CASE WHEN length(@ACC@) < 2 OR replace(@ACC@, substr(@ACC@, 1, 1), '') = '' THEN @ACC@ "
-                f"ELSE substr(@ACC@, 1, {lo}) || substr(@ACC@, {hi} + 1, 1) || substr(@ACC@, {lo} + 1, 1) "
-                f"|| substr(@ACC@, {hi} + 2) END")
-    else:
-        raise ValueError(f"unknown operator {op!r}")
-    return body.replace("@ACC@", f"({acc})")
+        return (f"CASE WHEN {ln} < 2 OR replace({a}, substr({a}, 1, 1), '') = '' THEN {a} "
+                f"ELSE substr({a}, 1, {lo}) || substr({a}, {hi} + 1, 1) || substr({a}, {lo} + 1, 1) "
+                f"|| substr({a}, {hi} + 2) END")
+    raise ValueError(f"unknown operator {op!r}")
 
 
-def any_step_sql(op_col: str, acc: str, dialect: str, seed, tag: str, keys, step: int) -> str:
+def any_step_sql(op_col: str, acc: str, tag: str, step: int) -> str:
     """One step of the operator named by the column ``op_col``."""
-    arms = " ".join(
-        f"WHEN {op_col} = '{op}' THEN {step_sql(op, acc, dialect, seed, tag, keys, step)}"
-        for op in OPERATORS
-    )
+    arms = " ".join(f"WHEN {op_col} = '{op}' THEN {step_sql(op, acc, tag, step)}" for op in OPERATORS)
     return f"(CASE {arms} ELSE {acc} END)"
 
 
@@ -116,7 +139,7 @@ def effective_count_sql(op_col: str, n_col: str, token: str) -> str:
             f"THEN length({token}) - 1 ELSE {n_col} END)")
 
 
-def corruption_step(op_col: str, acc: str, n_col: str, seed, tag: str, keys, step: int) -> Column:
+def corruption_step(op_col: str, acc: str, n_col: str, tag: str, step: int) -> Column:
     """Spark column: apply step ``step`` when ``step <= n``, else keep ``acc``."""
-    body = any_step_sql(op_col, acc, "spark", seed, tag, keys, step)
+    body = any_step_sql(op_col, acc, tag, step)
     return F.expr(f"CASE WHEN {n_col} >= {step} THEN {body} ELSE {acc} END")

@@ -89,3 +89,18 @@ def dense_index(df: DataFrame, order_cols: Sequence[str], bucket: Column,
 def hash_bucket(h: Column, bits: int = 12) -> Column:
     """Bucket of a 32-bit hash: its top ``bits`` bits (order preserving)."""
     return F.shiftright(h, 32 - bits)
+
+
+def dense_index_by_range(df: DataFrame, key: str, buckets: int = 1 << 14,
+                         name: str = "idx") -> DataFrame:
+    """``dense_index`` in ``key`` order with ``buckets`` equal-width key ranges.
+
+    The key range comes from one aggregate (min, max); the bucket is then an
+    expression of the row, so recomputed tasks number rows identically.
+    """
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    if lo is None:
+        return df.withColumn(name, F.lit(None).cast("bigint"))
+    width = max(1, -(-(int(hi) - int(lo) + 1) // buckets))
+    bucket = F.floor((F.col(key) - F.lit(int(lo))) / F.lit(width))
+    return dense_index(df, [key], bucket, name, max_buckets=buckets)

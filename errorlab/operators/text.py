@@ -106,14 +106,55 @@ def invert_index(vocab: DataFrame, key: str = "term", value: str = "term_id") ->
 
 
 # T10 -----------------------------------------------------------------------
+def literal_map(pairs, value_type: str = "int"):
+    """One constant ``map<string, value_type>`` expression.
+
+    Built as ``from_json`` of a single string literal, which the optimizer
+    folds into one map literal (a map of many ``lit`` columns would blow the
+    generated code past the JVM method size limit).
+    """
+    import json
+
+    return F.from_json(F.lit(json.dumps(dict(pairs))), f"map<string,{value_type}>")
+
+
 def char_map(chars: DataFrame, limit: int = 100_000):
     """Literal ``map<string,int>`` expression of a checked-small char table."""
     rows = chars.select("ch", "char_id").limit(limit + 1).collect()
     if len(rows) > limit:
         return None
-    keys = F.array(*[F.lit(r[0]) for r in rows])
-    vals = F.array(*[F.lit(int(r[1])) for r in rows])
-    return F.map_from_arrays(keys, vals)
+    return literal_map((r[0], int(r[1])) for r in rows)
+
+
+def char_encoder(chars: DataFrame, limit: int = 100_000):
+    """``f(column, width) -> array<int>`` for a checked-small character table.
+
+    Code points below 128 are looked up by position in one folded array
+    literal (O(1)); other characters go through a literal map (a linear scan,
+    used only for the few non-ASCII entries).  Unknown characters and the
+    padding take the id of the space character.
+    """
+    import json
+
+    rows = chars.select("ch", "char_id").limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    ids = {r[0]: int(r[1]) for r in rows}
+    space = ids[" "]
+    table = [ids.get(chr(i), space) for i in range(128)]
+    arr = F.from_json(F.lit(json.dumps(table)), "array<int>")
+    wide = {k: v for k, v in ids.items() if len(k) != 1 or ord(k) >= 128}
+    wide_map = literal_map(wide) if wide else None
+
+    def one(ch):
+        cp = F.ascii(ch)
+        other = F.coalesce(F.element_at(wide_map, ch), F.lit(space)) if wide_map is not None else F.lit(space)
+        return F.when(cp < 128, F.element_at(arr, cp + 1)).otherwise(other)
+
+    def encode(c, width: int):
+        return F.transform(F.split(F.rpad(c, width, " "), ""), one)
+
+    return encode
 
 
 def encode_chars(df: DataFrame, col: str, out: str, width: int, chars: DataFrame) -> DataFrame:
@@ -124,12 +165,10 @@ def encode_chars(df: DataFrame, col: str, out: str, width: int, chars: DataFrame
     case: it is bounded by the alphabet); otherwise the characters are exploded
     and joined, grouped back by the row key.
     """
-    m = char_map(chars)
+    enc = char_encoder(chars)
     padded = F.rpad(F.col(col), width, " ")
-    if m is not None:
-        space = F.element_at(m, F.lit(" "))
-        return df.withColumn(out, F.transform(F.split(padded, ""),
-                                              lambda c: F.coalesce(F.element_at(m, c), space)))
+    if enc is not None:
+        return df.withColumn(out, enc(F.col(col), width))
     with_id = df.withColumn("_rid", F.monotonically_increasing_id())
     exploded = with_id.select("_rid", F.posexplode(F.split(padded, "")).alias("_i", "ch"))
     space_id = chars.filter(F.col("ch") == " ").select(F.col("char_id").alias("_sp"))
@@ -174,8 +213,7 @@ def id_map(vocab: DataFrame, limit: int, key: str = "term", value: str = "term_i
     rows = vocab.select(key, value).limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"vocabulary larger than {limit} rows; join it instead")
-    return F.map_from_arrays(F.array(*[F.lit(r[0]) for r in rows]),
-                             F.array(*[F.lit(r[1]) for r in rows]))
+    return literal_map((r[0], int(r[1])) for r in rows)
 
 
 # T13 -----------------------------------------------------------------------

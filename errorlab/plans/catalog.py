@@ -22,6 +22,7 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {}
 FAMILIES = (
     "text_queries",
     "window_queries",
+    "error_queries",
 )
 
 
