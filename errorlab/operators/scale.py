@@ -104,3 +104,26 @@ def dense_index_by_range(df: DataFrame, key: str, buckets: int = 1 << 14,
     width = max(1, -(-(int(hi) - int(lo) + 1) // buckets))
     bucket = F.floor((F.col(key) - F.lit(int(lo))) / F.lit(width))
     return dense_index(df, [key], bucket, name, max_buckets=buckets)
+
+
+def prefix_sums_desc(df: DataFrame, group_cols: Sequence[str], order_col: str,
+                     value_cols: Sequence[str], bits: int = 12) -> DataFrame:
+    """``cum_<v>`` = sum of ``v`` over rows of the group with ``order_col`` >=
+    this row's (order_col is a score in [0, 1], unique within the group).
+
+    Level 1: totals per (group, bucket = floor(score * 2^bits)) and their running
+    sums over buckets (<= 2^bits rows per group).  Level 2: running sums inside
+    each (group, bucket).  The two are added; no window spans a whole group.
+    """
+    g = list(group_cols)
+    nb = 1 << bits
+    with_b = df.withColumn("_b", F.least(F.floor(F.col(order_col) * nb), F.lit(nb)).cast("int"))
+    tot = with_b.groupBy(*g, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+    wb = Window.partitionBy(*g).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*g, "_b", *[F.coalesce(F.sum(f"_t_{v}").over(wb), F.lit(0)).alias(f"_o_{v}")
+                                  for v in value_cols])
+    wi = Window.partitionBy(*g, "_b").orderBy(F.desc(order_col)).rowsBetween(Window.unboundedPreceding, 0)
+    out = with_b.join(offs, g + ["_b"])
+    for v in value_cols:
+        out = out.withColumn(f"cum_{v}", F.col(f"_o_{v}") + F.sum(v).over(wi))
+    return out.drop("_b", *[f"_o_{v}" for v in value_cols])

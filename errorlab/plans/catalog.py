@@ -23,6 +23,7 @@ FAMILIES = (
     "text_queries",
     "window_queries",
     "error_queries",
+    "score_queries",
 )
 
 
