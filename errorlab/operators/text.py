@@ -171,8 +171,8 @@ def encode_chars(df: DataFrame, col: str, out: str, width: int, chars: DataFrame
         return df.withColumn(out, enc(F.col(col), width))
     with_id = df.withColumn("_rid", F.monotonically_increasing_id())
     exploded = with_id.select("_rid", F.posexplode(F.split(padded, "")).alias("_i", "ch"))
-    space_id = chars.filter(F.col("ch") == " ").select(F.col("char_id").alias("_sp"))
-    coded = (exploded.join(chars, "ch", "left").crossJoin(F.broadcast(space_id))
+    space_id = chars.filter(F.col("ch") == " ").select(F.lit(1).alias("_k"), F.col("char_id").alias("_sp"))
+    coded = (exploded.join(chars, "ch", "left").withColumn("_k", F.lit(1)).join(F.broadcast(space_id), "_k")
              .groupBy("_rid")
              .agg(F.sort_array(F.collect_list(F.struct("_i", F.coalesce("char_id", "_sp").alias("c"))))
                   .alias("_codes")))

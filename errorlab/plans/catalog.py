@@ -24,6 +24,7 @@ FAMILIES = (
     "window_queries",
     "error_queries",
     "score_queries",
+    "agreement_queries",
 )
 
 

@@ -384,7 +384,8 @@ def m8(fx):
              .orderBy(F.desc("count"), "original_code").limit(1))
     uni = rng.pick(len(CONFUSABLES), P.seed, "uniform", F.col("pair_id"), F.col("is_error").cast("string"))
     acc = lambda c: r6(F.avg(c.cast("double")))
-    base = pp.crossJoin(F.broadcast(prior.select(F.col("original_code").alias("_prior")))).agg(
+    base = pp.withColumn("_k", F.lit(1)).join(
+        F.broadcast(prior.select(F.lit(1).alias("_k"), F.col("original_code").alias("_prior"))), "_k").agg(
         acc(F.col("current_code") == F.col("original_code")).alias("no_change"),
         acc(F.col("original_code") == F.col("_prior")).alias("prior"),
         acc(F.col("original_code") == uni).alias("uniform"),
