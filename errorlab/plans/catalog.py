@@ -25,6 +25,7 @@ FAMILIES = (
     "error_queries",
     "score_queries",
     "agreement_queries",
+    "sequence_queries",
 )
 
 
