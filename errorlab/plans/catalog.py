@@ -26,6 +26,7 @@ FAMILIES = (
     "score_queries",
     "agreement_queries",
     "sequence_queries",
+    "stream_queries",
 )
 
 
