@@ -27,6 +27,7 @@ FAMILIES = (
     "agreement_queries",
     "sequence_queries",
     "stream_queries",
+    "io_model_queries",
 )
 
 
