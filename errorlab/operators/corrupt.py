@@ -149,3 +149,28 @@ def regularize_centre(df: DataFrame, centre_col: str, key_col: str, seed: int =
     rest = F.array_except(arr, F.array(F.col(centre_col)))
     pick = (rng.pick(F.greatest(F.size(rest), F.lit(1)), seed, "regularize", F.col(key_col)) + 1).cast("int")
     return df.withColumn(out, F.when(F.size(rest) > 0, F.element_at(rest, pick)).otherwise(F.col(centre_col)))
+
+
+# C11 -----------------------------------------------------------------------
+def edit_operations(pairs: DataFrame, correct: str = "correct", error: str = "error") -> DataFrame:
+    """Classify single-edit (correct, error) pairs: ``op`` in insert/delete/
+    replace with the characters involved (``from_ch`` -> ``to_ch``)."""
+    a, b = F.col(correct), F.col(error)
+    n = F.least(F.length(a), F.length(b))
+    first = F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                                 lambda i: F.substring(a, i, 1) != F.substring(b, i, 1)))
+    pos = F.coalesce(first, n + 1)
+    op = (F.when(F.length(b) == F.length(a) + 1, "insert")
+          .when(F.length(b) == F.length(a) - 1, "delete").otherwise("replace"))
+    from_ch = F.when(op == "insert", F.lit("")).otherwise(F.substring(a, pos, 1))
+    to_ch = F.when(op == "delete", F.lit("")).otherwise(F.substring(b, pos, 1))
+    return pairs.select(correct, error, op.alias("op"), from_ch.alias("from_ch"), to_ch.alias("to_ch"))
+
+
+def learned_corruption(pairs: DataFrame, correct: str = "correct", error: str = "error") -> DataFrame:
+    """Edit-operation model estimated from real single-edit pairs:
+    ``(op, from_ch, to_ch, n, p)`` with p the share inside the operator; the
+    cumulative form is what keyed draws sample from."""
+    ops = edit_operations(pairs, correct, error).groupBy("op", "from_ch", "to_ch").agg(F.count(F.lit(1)).alias("n"))
+    from pyspark.sql import Window
+    return ops.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("op")))

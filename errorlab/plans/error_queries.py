@@ -369,3 +369,21 @@ def d5(fx):
 def d6(fx):
     ex = examples(fx).select("example_id", "corrupt_token")
     return D.binary_real_word(ex, "corrupt_token", dictionary(fx)).select("example_id", "is_real_word")
+
+
+# C11 -----------------------------------------------------------------------
+
+@register("C11_learned_corruption", with_fixtures("""
+    SELECT op, from_ch, to_ch, n, round(n / sum(n) OVER (PARTITION BY op), 6) AS p FROM (
+      SELECT op, CASE WHEN op = 'insert' THEN '' ELSE substr(term, pos, 1) END AS from_ch,
+                 CASE WHEN op = 'delete' THEN '' ELSE substr(cand, pos, 1) END AS to_ch, count(*) AS n FROM (
+        SELECT term, cand,
+               CASE WHEN length(cand) = length(term) + 1 THEN 'insert'
+                    WHEN length(cand) = length(term) - 1 THEN 'delete' ELSE 'replace' END AS op,
+               coalesce(list_min(list_filter(range(1, greatest(least(length(term), length(cand)), 1) + 1),
+                        lambda i: substr(term, i, 1) <> substr(cand, i, 1))), least(length(term), length(cand)) + 1) AS pos
+        FROM cands WHERE distance = 1) GROUP BY 1, 2, 3)""", "cands"))
+def c11(fx):
+    pairs = cands(fx).filter(F.col("distance") == 1).select(F.col("term").alias("correct"), F.col("cand").alias("error"))
+    out = C.learned_corruption(pairs)
+    return out.select("op", "from_ch", "to_ch", "n", F.round("p", 6).alias("p"))

@@ -77,24 +77,31 @@ class Fx:
             self.vocab().select("term", (F.col("term_id") + 1).alias("term_id")), P.max_features))
 
     def sents(self) -> DataFrame:
-        """English lines as id sequences: ``(sent_id, toks, sent, len)``."""
+        """English lines as id sequences: ``(sent_id, toks, sent, len)``.
+
+        Token ids come from a broadcast hash join with the (bounded)
+        vocabulary and are regrouped per line; a literal map would cost a
+        linear scan of the vocabulary per token.
+        """
         def build():
-            ids = self.vocab_ids()
+            v = F.broadcast(self.vocab().select(F.col("term").alias("tok"), (F.col("term_id") + 1).alias("id")))
             lines = (self.t("documents").filter(F.col("lang") == "en")
                      .select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l")))
-            toks = token_array(F.col("l"))
-            return (lines.select((F.col("doc_id") * SENT_FACTOR + F.col("line")).alias("sent_id"),
-                                 toks.alias("toks"))
-                    .filter(F.size("toks") > 0)
-                    .withColumn("sent", F.transform("toks", lambda t: F.coalesce(F.element_at(ids, t), F.lit(0))))
-                    .withColumn("len", F.size("toks")))
+            toks = lines.select((F.col("doc_id") * SENT_FACTOR + F.col("line")).alias("sent_id"),
+                                F.posexplode(token_array(F.col("l"))).alias("i", "tok"))
+            coded = toks.join(v, "tok", "left").select("sent_id", F.struct("i", "tok", F.coalesce("id", F.lit(0)).alias("id")).alias("c"))
+            grouped = coded.groupBy("sent_id").agg(F.sort_array(F.collect_list("c")).alias("_c"))
+            return grouped.select("sent_id", F.transform("_c", lambda c: c["tok"]).alias("toks"),
+                                  F.transform("_c", lambda c: c["id"]).alias("sent"), F.size("_c").alias("len"))
         return self._get("sents", build)
 
     def pairs(self) -> DataFrame:
         """Each confusable occurrence (is_error false) and a copy whose word is
         replaced by a different confusable picked by hash (is_error true)."""
         def build():
-            ids = self.vocab_ids()
+            # ids of the nine confusable words only (a 9-entry literal map)
+            rows = self.vocab().filter(F.col("term").isin(*CONFUSABLES)).select("term", "term_id").collect()
+            ids = T.literal_map((r[0], int(r[1]) + 1) for r in rows)
             conf = F.array(*[F.lit(c) for c in CONFUSABLES])
             occ = (self.sents()
                    .select("sent_id", "sent", "len", F.posexplode("toks").alias("position", "original"))

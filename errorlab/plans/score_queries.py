@@ -463,7 +463,6 @@ _PAIR_SQL = """
 
 def _pair_prf(fx):
     pp = pairs_pred(fx).filter(F.col("pred") != F.col("current_code"))
-    n_flagged = pp.count()
     conf = F.array(*[F.lit(c) for c in CONFUSABLES])
     pp = pp.withColumn("pred_word", F.element_at(conf, F.col("pred") + 1))
     s = pp.groupBy("current", "original").agg(F.count(F.lit(1)).alias("support"),
@@ -472,8 +471,10 @@ def _pair_prf(fx):
     t = s.join(pr, ["current", "original"], "left")
     p = F.when(F.coalesce("predicted", F.lit(0)) > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
     r = F.col("tp") / F.col("support")
+    # flagged rows = sum of the supports of the (few) pair rows
+    nfl = F.sum("support").over(Window.partitionBy(F.lit(1)))
     return t.select("current", "original", p.alias("precision"), r.alias("recall"),
-                    M.fbeta(p, r, 1.0).alias("fscore"), "support", F.lit(n_flagged).alias("nfl"))
+                    M.fbeta(p, r, 1.0).alias("fscore"), "support", nfl.alias("nfl"))
 
 
 @register("M13_correction_by_pair", with_fixtures(f"""
