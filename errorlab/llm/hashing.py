@@ -56,28 +56,33 @@ def span(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((pre[end] - pre[start]) * inv[start])
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and for each text the index of its first word
-    (``n + 1`` values).  ``buf`` must be lower-cased."""
+def runs(buf: np.ndarray, offs: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of the maximal runs of member bytes within each text, and for each
+    text the index of its first run (``n + 1`` values)."""
     n = len(buf)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64)
-    is_word = _WORD[buf]
+    inside = member[buf]
     before = np.empty(n, bool)
     before[0] = False
-    before[1:] = is_word[:-1]
+    before[1:] = inside[:-1]
     before[offs[:-1][offs[:-1] < n]] = False
     after = np.empty(n, bool)
     after[-1] = False
-    after[:-1] = is_word[1:]
+    after[:-1] = inside[1:]
     inner = offs[1:-1]
     after[inner[inner > 0] - 1] = False
-    starts = np.flatnonzero(is_word & ~before)
-    ends = np.flatnonzero(is_word & ~after) + 1
+    starts = np.flatnonzero(inside & ~before)
+    ends = np.flatnonzero(inside & ~after) + 1
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of lower-cased texts, as :func:`runs`."""
+    return runs(buf, offs, _WORD)
+
+
 _M = mix(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
 
