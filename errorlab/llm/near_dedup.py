@@ -14,8 +14,9 @@ passages which many documents share count less, but copies in a large group stay
    their weighted Jaccard similarity.
 2. Documents with the same weighted set form a node, so copies are never expanded.
    Bands of ``ROWS`` samples are the buckets.
-3. In each bucket a pivot is compared with one delegate of every other component known
-   so far: a number of pairs in proportion to the bucket, never all of them.  A pair
+3. In each bucket up to ``PIVOTS`` components (one in the first round) are compared, by
+   one delegate each, with a delegate of every other component known so far: a number of
+   pairs in proportion to the bucket, never all of them.  A pair
    counts as a link when its exact weighted Jaccard similarity reaches the threshold.
    Links merge components, and rounds go on with other pivots and delegates until one
    finds nothing more.
@@ -43,6 +44,7 @@ SLICE = 1 << 13
 BANDS, ROWS = 10, 4
 TABLE = 1 << 16
 DAMP = 0.25
+PIVOTS = 8
 THRESHOLD = 0.8
 
 _rng = np.random.default_rng(2010)
@@ -175,7 +177,7 @@ def vectors(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 [longs(set_hash(h, tf, offs).view(np.int64)), pa.array([p[0] for p in parts], pa.binary()),
                  pa.array([p[1] for p in parts], pa.binary())], ["node", "shingles", "times"])
 
-    texts = docs.join(wanted.select("doc_id"), "doc_id", "left_semi")
+    texts = docs.hint("merge").join(wanted.select("doc_id"), "doc_id", "left_semi")
     made = texts.mapInArrow(step, "node long, shingles binary, times binary")
     # A key with several texts brings more sets than asked for, a key with repeated rows the same one twice.
     return made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
@@ -185,7 +187,8 @@ def verify(pairs: DataFrame, vecs: DataFrame, idf, threshold: float) -> DataFram
     """The pairs ``a, b`` whose exact weighted Jaccard similarity reaches the threshold."""
     left, right = (vecs.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_s"), F.col("times").alias(f"{x}_t"))
                    for x in "ab")
-    both = pairs.join(left, "a").join(right, "b")
+    # Neither side has a bound, so neither is ever broadcast.
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
 
     def step(batches):
         for b in batches:
@@ -244,12 +247,14 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _delegates(member: DataFrame, turn: int) -> DataFrame:
-    """Pairs ``a < b``: in each bucket the pivot against one delegate of every component
-    but its own."""
+    """Pairs ``a < b``: in each bucket the pivots, delegates of up to ``PIVOTS`` components
+    (one in the first round), against one delegate of every other component."""
     lot = F.xxhash64("node", "bucket", F.lit(turn))
     one = member.groupBy("bucket", "component").agg(F.min(F.struct(lot.alias("lot"), "node")).alias("best"))
-    pivot = one.groupBy("bucket").agg(F.min("best").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return one.join(pivot, "bucket").where(F.col("best.node") != F.col("pivot.node")) \
+    turns = 1 if turn == 1 else PIVOTS
+    pivot = one.groupBy("bucket", F.pmod(F.col("best.lot"), F.lit(turns)).alias("class")) \
+        .agg(F.min("best").alias("pivot"))
+    return one.hint("merge").join(pivot, "bucket").where(F.col("best.node") != F.col("pivot.node")) \
         .select(F.least("best.node", "pivot.node").alias("a"), F.greatest("best.node", "pivot.node").alias("b")) \
         .distinct()
 
