@@ -35,7 +35,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 DICTIONARY_BYTES = 64 << 10
 BLOCK_BYTES = 1 << 20
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 300_000
 
 BLOCKS = ("part long, block long, first_id long, last_id long, doc_ids array<long>, offsets array<long>, "
           "n_tokens array<long>, payload binary, dictionary_sha256 string")
@@ -46,10 +46,13 @@ class Encoder:
 
     Byte-level splitting never joins a blank that follows a non-space with what stands
     before it, so a text without a blank between two spaces may be cut before every
-    blank, and the pieces' ids be joined.  Other texts are encoded in one go.
+    blank, and the pieces' ids be joined.  Other texts are encoded in one go.  Letters
+    and the marks behind them never join either, so a new piece that ends in marks is
+    made of two smaller ones.
     """
 
     _between_spaces = re.compile(r"\s \s")
+    _marked = re.compile(r"( ?[^\W\d_]+)([.,;:!?%&*$#]+)").fullmatch
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -66,8 +69,15 @@ class Encoder:
                 new.update(p)
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-        new = list(new - self.cache.keys())
-        self.cache.update(zip(new, self._whole(new)))
+        new -= self.cache.keys()
+        halves = {p: m.groups() for p in new if (m := self._marked(p))}
+        parts = new - halves.keys()
+        for pair in halves.values():
+            parts.update(pair)
+        parts = list(parts - self.cache.keys())
+        self.cache.update(zip(parts, self._whole(parts)))
+        for p, (letters, marks) in halves.items():
+            self.cache[p] = self.cache[letters] + self.cache[marks]
         whole = iter(self._whole([t for t, p in zip(texts, pieces) if p is None]))
         get = self.cache.__getitem__
         return [next(whole) if p is None else b"".join(map(get, p)) for p in pieces]
