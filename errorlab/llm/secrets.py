@@ -99,20 +99,23 @@ def base_spans(text: Column) -> dict[str, Column]:
             "hex": spans(text, "hex", HEX)}
 
 
-def sample_of(docs: DataFrame, size: int, seed: int) -> DataFrame:
-    """At most ``size`` keys, by a hash, with one of their texts each."""
-    return docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("text").alias("text")) \
-        .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(size)
+def sample_of(docs: DataFrame, size: int, seed: int, some: Column | None = None) -> DataFrame:
+    """At most ``size`` keys, by a hash, among the rows with ``some``, with one of their
+    texts each.  Only keys are ordered; texts come by a join with the bounded list."""
+    keys = (docs if some is None else docs.where(some)).where(F.col("doc_id").isNotNull()) \
+        .select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(size)
+    return docs.join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
 
 
 def labelled_samples(docs: DataFrame, size: int = SAMPLE_DOCS) -> DataFrame:
     """``random, string``: strings labelled as random or as ordinary identifiers."""
     some = F.col("text").rlike("|".join((ASSIGN.replace("(?i)", "(?i:") + ")", ACCESS, HEX)))
-    with_base, others = sample_of(docs.where(some), size, 1), sample_of(docs.where(~some), size, 2)
-    values = F.concat(F.transform(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: v),
+    with_base, others = sample_of(docs, size, 1, some), sample_of(docs, size, 2)
+    values = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)),
                       F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)),
                       F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
-    ordinary = F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
+    ordinary = F.regexp_extract_all(plain, F.lit(ORDINARY), F.lit(0))
     return with_base.select(F.lit(True).alias("random"), F.explode(values).alias("string")) \
         .where(F.length("string") >= ASSIGN_LEAST) \
         .unionByName(others.select(F.lit(False).alias("random"), F.explode(ordinary).alias("string")))
