@@ -18,8 +18,9 @@ passages which many documents share count less, but copies in a large group stay
    one delegate each, with a delegate of every other component known so far: a number of
    pairs in proportion to the bucket, never all of them.  A pair
    counts as a link when its exact weighted Jaccard similarity reaches the threshold.
-   Links merge components, and rounds go on with other pivots and delegates until one
-   finds nothing more.
+   Links merge components.  Further rounds do the same in the intersections of two
+   bands, all pairs of bands in turn, where the closest texts of a large bucket meet;
+   they end early when one finds nothing.
 4. The result names for each document the smallest key of its component.
 
 Documents without words (null, empty) have no shingles and are never linked.  Rows with
@@ -44,7 +45,7 @@ SLICE = 1 << 13
 BANDS, ROWS = 10, 4
 TABLE = 1 << 16
 DAMP = 0.25
-PIVOTS = 8
+PIVOTS = 4
 THRESHOLD = 0.8
 
 _rng = np.random.default_rng(2010)
@@ -219,24 +220,26 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     member = nodes.select("node", "doc_id", F.explode("keys").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     member = materialize(member.join(shared, "bucket", "left_semi"), "buckets")
-    vecs = materialize(vectors(docs, member.select("node", "doc_id").distinct()), "vectors")
-    known = member.select("node", F.col("node").alias("component")).distinct()
+    held = materialize(nodes.join(member.select("node").distinct(), "node", "left_semi"), "held")
+    vecs = materialize(vectors(docs, held.select("node", "doc_id")), "vectors")
+    known = held.select("node", F.col("node").alias("component"))
     tried = None
-    rounds = 0
-    while True:
-        rounds += 1
-        pairs = _delegates(member.select("bucket", "node").join(known, "node"), rounds)
+    for rounds in range(1, 2 + BANDS // 2):
+        # Later rounds look into the intersections of two bands, where the closest texts meet.
+        inner = member.select("bucket", "node") if rounds == 1 else held.select("node", F.explode(F.transform(
+            F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(
+                F.col("keys")[i], F.col("keys")[(i + rounds - 1) % BANDS]))).alias("bucket"))
+        pairs = _delegates(inner.join(known, "node"), rounds)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if not pairs.limit(1).count():
-            break
+            continue
         found = materialize(verify(pairs, vecs, idf, threshold), "found")
-        if not found.limit(1).count():
-            if rounds > 2:
-                break
-        else:
+        if found.limit(1).count():
             known = _merge(known, found)
+        elif rounds > 2:
+            break
         tried = pairs if tried is None else tried.unionByName(pairs)
     classes = known.join(nodes.select("node", "doc_id"), "node") \
         .groupBy("component").agg(F.min("doc_id").alias("class_id")).join(known, "component").select("node", "class_id")
