@@ -59,11 +59,15 @@ def span(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def runs(buf: np.ndarray, offs: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of the maximal runs of member bytes within each text, and for each
     text the index of its first run (``n + 1`` values)."""
-    n = len(buf)
+    return bounds(member[buf], offs)
+
+
+def bounds(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for the runs of true values."""
+    n = len(inside)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64)
-    inside = member[buf]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = inside[:-1]
