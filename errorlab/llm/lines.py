@@ -257,10 +257,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for b in text_steps(batches, "ta"):
             a, c = ([np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in b.column(n).to_pylist()]
                     for n in ("ta", "tb"))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(within(a, c).astype(np.int32))],
-                                             ["a", "b", "distance"])
+            edits = within(a, c).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(edits)], ["a", "b", "distance"])
+            yield out.filter(pa.array(edits <= TAU))
 
-    return both.mapInArrow(step, "a long, b long, distance int").where(F.col("distance") <= TAU)
+    return both.mapInArrow(step, "a long, b long, distance int")
 
 
 def edit_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -9,9 +9,8 @@ and are judged on the input.
    anchor occurs in two documents need a comparison.  Tasks send one entry per anchor
    and tell at once which of their own documents share it, so an anchor that a third of
    all documents hold costs one entry per task.
-2. Regions around shared anchors are compared where they are: a suffix array over the
-   regions (ranks by prefix doubling, cut at ``LENGTH`` bytes), and along it the longest
-   previous factor: the suffixes that agree in ``LENGTH`` bytes are neighbours, and one
+2. Regions around shared anchors are compared where they are: a suffix array over their
+   starts, cut at ``LENGTH`` bytes, and along it the longest previous factor: the suffixes that agree in ``LENGTH`` bytes are neighbours, and one
    has an earlier match if the previous smaller key in suffix order lies among them
    (ties are in key order, so the next smaller one never does).
 3. What found no earlier match goes on, with its ``LENGTH - K`` bytes on either side, to
@@ -40,7 +39,7 @@ LENGTH = 50
 K = 24
 WINDOW = LENGTH - K + 1
 #: Entries or bytes after which a task compares what it has gathered.
-FLUSH = 4 << 20
+FLUSH = 3 << 19
 
 
 def _leftmost_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -158,32 +157,42 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(count, schema).repartition(parts, "bucket").mapInArrow(meet, "doc_id long, hashes binary")
 
 
-def suffix_ranks(buf: np.ndarray) -> np.ndarray:
-    """Rank of each suffix among all, by its first ``LENGTH`` bytes (prefix doubling:
-    8, 16, 32 and ``LENGTH`` bytes).  Equal ranks: equal strings."""
-    n = len(buf)
+def suffix_order(buf: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of the given starts by their first ``LENGTH`` bytes, ties by key,
+    and whether each suffix agrees in all of them with the one before it (their common
+    prefix, cut at ``LENGTH``)."""
     wide = np.concatenate([buf, np.zeros(8, np.uint8)])
-    word = np.zeros(n, np.uint64)
+    word = np.zeros(len(buf), np.uint64)  # eight bytes from each position, as a number
     for j in range(8):
-        word = (word << np.uint64(8)) | wide[j:j + n]
-    rank = np.unique(word, return_inverse=True)[1]
-    for shift in (8, 16, LENGTH - 32):
-        after = np.zeros(n, np.int64)
-        after[:n - shift] = rank[shift:] + 1
-        rank = np.unique((rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64), return_inverse=True)[1]
-    return rank
+        word = (word << np.uint64(8)) | wide[j:j + len(buf)]
+    keys = [word[starts + j] for j in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
+    order = np.lexsort((doc, *keys[::-1]))
+    same = np.ones(len(starts), bool)
+    same[:1] = False
+    for k in keys:
+        k = k[order]
+        same[1:] &= k[1:] == k[:-1]
+    return order, same
 
 
 def earlier(buf: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Whether the ``LENGTH`` bytes at each start also begin in a document with a smaller
-    key: the longest previous factor along the suffix array, cut at ``LENGTH``."""
-    if not len(starts):
-        return np.zeros(0, bool)
-    rank = suffix_ranks(buf)[starts]
-    order = np.lexsort((doc, rank))  # the suffix array; ties by key
-    run = np.repeat(_split(rank[order])[:-1], np.diff(_split(rank[order])))
-    out = np.empty(len(starts), bool)
-    out[order] = doc[order][run] < doc[order]
+    key: the longest previous factor along the suffix array, cut at ``LENGTH``.  Only
+    starts whose hash occurs twice enter the array."""
+    out = np.zeros(len(starts), bool)
+    if len(starts) < 2:
+        return out
+    h = span(prefix(buf), starts, starts + LENGTH)
+    ordered = np.sort(h)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return out
+    at = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h)
+    order, same = suffix_order(buf, starts[at], doc[at])
+    doc = doc[at][order]
+    # The previous smaller key, if any, is the first of the run that agrees.
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    out[at[order]] = doc[first] < doc
     return out
 
 
