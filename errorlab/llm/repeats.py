@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ LENGTH = 50
 K = 24
 WINDOW = LENGTH - K + 1
 #: Entries or bytes after which a task compares what it has gathered.
-FLUSH = 3 << 19
+FLUSH = 3 << 20
 
 
 def _leftmost_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -237,8 +238,9 @@ def covered_starts(suspects: DataFrame, parts: int) -> DataFrame:
                 parts_of = buf[_spread(region_at[mine], size[mine] + LENGTH - 1)]
                 yield pa.RecordBatch.from_arrays(
                     [longs([p]), pa.array([None], pa.int64()), pa.array([rows.tobytes()], pa.binary()),
-                     pa.array([parts_of.tobytes()], pa.binary())], ["bucket", "doc_id", "a", "b"])
+                     pa.array([packer.compress(parts_of.tobytes())], pa.binary())], ["bucket", "doc_id", "a", "b"])
 
+        packer = zstandard.ZstdCompressor(level=3)
         for b in text_steps(batches):
             buf, offs = utf8(b.column("text"))
             h, d, first, size = anchors(buf, offs)
@@ -267,6 +269,7 @@ def covered_starts(suspects: DataFrame, parts: int) -> DataFrame:
             yield from flush()
 
     def meet(batches):
+        reader = zstandard.ZstdDecompressor()
         rows, texts = [], []
         for b in batches:
             told = b.filter(pa.array(np.array(b.column("bucket").is_null())))
@@ -275,7 +278,7 @@ def covered_starts(suspects: DataFrame, parts: int) -> DataFrame:
             for a, t in zip(b.column("a"), b.column("b")):
                 if t.is_valid:
                     rows.append(np.frombuffer(a.as_buffer(), np.int64).reshape(-1, 4))
-                    texts.append(np.frombuffer(t.as_buffer(), np.uint8))
+                    texts.append(np.frombuffer(reader.decompress(t.as_buffer()), np.uint8))
         if not rows:
             return
         rows, buf = np.concatenate(rows), np.concatenate(texts)
