@@ -221,7 +221,7 @@ def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFr
     """The same for a few keys: other blocks are skipped by their statistics and other
     frames of a block are not decompressed."""
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where(
-        (F.col("first_id") <= max(doc_ids)) & (F.col("last_id") >= min(doc_ids))
+        (F.col("first_id").isNull() | (F.col("first_id") <= max(doc_ids))) & (F.col("last_id") >= min(doc_ids))
         & F.arrays_overlap("doc_ids", F.array(*[F.lit(d).cast("long") for d in doc_ids]))) \
         .withColumn("block_start", F.lit(None).cast("long"))
     return blocks.mapInArrow(_unpack(*_dictionary(spark, path), set(doc_ids)),
