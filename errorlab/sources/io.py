@@ -88,8 +88,8 @@ def split_files(df: DataFrame, key: str, rows_per_file: int, out: str) -> None:
     from ..operators import scale
 
     idx = scale.dense_index_by_range(df, key, name="_idx")
-    shard = F.lpad(F.floor(F.col("_idx") / rows_per_file).cast("string"), 5, "0")
-    idx.withColumn("shard", shard).drop("_idx").write.mode("overwrite").partitionBy("shard").parquet(out)
+    shard = F.format_string("%05d", F.floor(F.col("_idx") / rows_per_file))  # wider from 100000 on
+    idx.withColumn("shard", shard).drop("_idx").repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(out)
 
 
 # S7 ------------------------------------------------------------------------
@@ -148,8 +148,8 @@ def load_targets(spark: SparkSession, path: str, target: str = "y") -> DataFrame
 # S11 / S12 -----------------------------------------------------------------
 def save_scores(scores: DataFrame, path: str, partition_col: str = "split") -> None:
     """Replace prob/pred of the scored partitions only (dynamic overwrite)."""
-    scores.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    scores.write.mode("overwrite").partitionBy(partition_col).parquet(path)
+    scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy(partition_col).parquet(path)
 
 
 # S13 -----------------------------------------------------------------------
