@@ -110,13 +110,13 @@ def t12(fx):
     SELECT d.doc_id, CAST(coalesce(u.n_unknown, 0) AS INT) AS n_unknown
     FROM documents d LEFT JOIN (
       SELECT t.doc_id, count(*) AS n_unknown FROM tokens t LEFT JOIN vocab v ON t.token = v.term
-      WHERE t.pos < 20 AND v.term IS NULL GROUP BY t.doc_id) u ON d.doc_id = u.doc_id""",
+      WHERE v.term IS NULL GROUP BY t.doc_id) u ON d.doc_id = u.doc_id""",
     "tokens", "vocab"))
 def t13(fx):
     ids = T.id_map(fx.vocab(), P.max_features)
     docs = fx.t("documents").select("doc_id", token_array(F.col("text")).alias("toks"))
     sent = F.transform("toks", lambda t: F.coalesce(F.element_at(ids, t) + 1, F.lit(0)))
-    return docs.select("doc_id", T.unknown_count(sent, 20).cast("int").alias("n_unknown"))
+    return docs.select("doc_id", T.unknown_count(sent, F.size("toks")).cast("int").alias("n_unknown"))
 
 
 @register("T14_novel_words", with_fixtures("""
