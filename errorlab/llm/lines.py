@@ -10,7 +10,9 @@ is at most ``TAU = 2``.
    its segments into the index, under its length, the segment's number and its hash, and
    probes the indexes of the lengths ``n - TAU .. n`` with its substrings at the positions
    that can matter.  Index and probes meet by the hash, in as many tasks as a shuffle has
-   parts; only candidate pairs of line hashes leave them.
+   parts.  Entries and probes carry their line's character parities: an edit flips at most
+   two of these ``MARKS`` bits, so a pair that differs in more than ``2 TAU`` of them has no
+   link, and a frequent segment sends few candidate pairs on to the texts.
 2. Candidates are verified on their texts: an automaton of ``TAU + 1`` bitmaps over the
    ``2 TAU + 1`` diagonals of the band consumes the lines, many pairs at a time.
 3. A line is *equal* when the same line stands earlier (by key, then line number), and
@@ -36,6 +38,7 @@ TAU = 2
 LEAST = 16
 FLUSH = 2_000_000
 PAIRS = 1 << 20
+MARKS = 32
 
 
 def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +58,13 @@ def lines_of(buf: np.ndarray, offs: np.ndarray):
     return start[ok], end[ok], doc[ok], number[ok]
 
 
+def marks(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each span, which of ``MARKS`` classes of characters occur an odd number of times."""
+    bit = np.uint32(1) << (mix(buf.astype(np.uint64)) % np.uint64(MARKS)).astype(np.uint32)
+    run = np.concatenate([np.zeros(1, np.uint32), np.bitwise_xor.accumulate(bit)])
+    return run[end] ^ run[start]
+
+
 def segment(length: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
     """Position and size of segment ``i``; the last ones take what is left over."""
     size, more = length // (TAU + 1), length % (TAU + 1)
@@ -62,15 +72,16 @@ def segment(length: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
     return i * size + np.maximum(0, i - short), size + (i >= short)
 
 
-def entries(pre: np.ndarray, start: np.ndarray, end: np.ndarray, line: np.ndarray):
-    """Keys and lines of all index entries (lowest bit 0) and probes (lowest bit 1)."""
+def entries(pre: np.ndarray, start: np.ndarray, end: np.ndarray, line: np.ndarray, mark: np.ndarray):
+    """Keys, lines and marks of all index entries (lowest bit 0) and probes (lowest bit 1)."""
     length = end - start
-    keys, lines = [], []
+    keys, lines, seen = [], [], []
 
     def add(at, size, indexed, i, role, ok):
         k = mix(span(pre, at[ok], (at + size)[ok]) + mix((indexed[ok] * 4 + i).astype(np.uint64)))
         keys.append((k & ~np.uint64(1)) | np.uint64(role))
         lines.append(line[ok])
+        seen.append(mark[ok])
 
     for i in range(TAU + 1):
         at, size = segment(length, i)
@@ -85,7 +96,7 @@ def entries(pre: np.ndarray, start: np.ndarray, end: np.ndarray, line: np.ndarra
                 ok = (p <= hi) & (p >= 0) & (p + size <= length) & (indexed >= LEAST)
                 if ok.any():
                     add(start + p, size, indexed, i, 1, ok)
-    return np.concatenate(keys), np.concatenate(lines)
+    return np.concatenate(keys), np.concatenate(lines), np.concatenate(seen)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -104,21 +115,21 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, parts: int) -> DataFrame:
-    """``a < b``: hashes of lines that share a segment where two edits allow it."""
+    """``a < b``: hashes of lines that share a segment where two edits allow it, and whose
+    character parities do not rule a link out."""
 
     def step(batches):
-        keys, lines, held = [], [], 0
+        held, size = [], 0
 
         def flush():
-            k, v = np.concatenate(keys), np.concatenate(lines)
-            owner = ((k >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+            columns = [np.concatenate(c) for c in zip(*held)]
+            owner = ((columns[0] >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(owner, kind="stable")
-            k, v, owner = k[order], v[order], owner[order]
-            cut = np.searchsorted(owner, np.arange(parts + 1))
+            cut = np.searchsorted(owner[order], np.arange(parts + 1))
             full = np.flatnonzero(np.diff(cut))
             yield pa.RecordBatch.from_arrays(
-                [longs(full), pa.array([k[cut[p]:cut[p + 1]].tobytes() for p in full], pa.binary()),
-                 pa.array([v[cut[p]:cut[p + 1]].tobytes() for p in full], pa.binary())], ["part", "keys", "lines"])
+                [longs(full), *(pa.array([c[order[cut[p]:cut[p + 1]]].tobytes() for p in full], pa.binary())
+                                for c in columns)], ["part", "keys", "lines", "marks"])
 
         for b in text_steps(batches):
             buf, offs = points(b.column("text").to_pylist())
@@ -127,51 +138,52 @@ def candidates(docs: DataFrame, parts: int) -> DataFrame:
                 continue
             pre = prefix(buf)
             line, one = np.unique(span(pre, start, end), return_index=True)
-            k, v = entries(pre, start[one], end[one], line)
-            keys.append(k)
-            lines.append(v)
-            held += len(k)
-            if held > FLUSH:
+            held.append(entries(pre, start[one], end[one], line, marks(buf, start[one], end[one])))
+            size += len(held[-1][0])
+            if size > FLUSH:
                 yield from flush()
-                keys, lines, held = [], [], 0
+                held, size = [], 0
         if held:
             yield from flush()
 
     def meet(batches):
-        keys, lines = [], []
+        came: dict[str, list] = {"keys": [], "lines": [], "marks": []}
         for b in batches:
-            for k, v in zip(b.column("keys"), b.column("lines")):
-                keys.append(np.frombuffer(k.as_buffer(), np.uint64))
-                lines.append(np.frombuffer(v.as_buffer(), np.uint64))
-        if not keys:
+            for name, held in came.items():
+                kind = np.uint32 if name == "marks" else np.uint64
+                held += [np.frombuffer(x.as_buffer(), kind) for x in b.column(name)]
+        if not came["keys"]:
             return
-        k, v = np.concatenate(keys), np.concatenate(lines)
+        k, v, m = (np.concatenate(held) for held in came.values())
+        came.clear()
         sides = []
         for role in (0, 1):
             mine = (k & np.uint64(1)) == role
-            kk, vv = k[mine] >> np.uint64(1), v[mine]
+            kk, vv, mm = k[mine] >> np.uint64(1), v[mine], m[mine]
             order = np.lexsort((vv, kk))
-            kk, vv = kk[order], vv[order]
+            kk, vv, mm = kk[order], vv[order], mm[order]
             new = np.ones(len(kk), bool)  # a line that several tasks have seen comes once
             new[1:] = (kk[1:] != kk[:-1]) | (vv[1:] != vv[:-1])
-            sides.append((kk[new], vv[new]))
-        (ik, iv), (pk, pv) = sides
+            sides.append((kk[new], vv[new], mm[new]))
+        (ik, iv, im), (pk, pv, pm) = sides
         lo, hi = np.searchsorted(ik, pk, "left"), np.searchsorted(ik, pk, "right")
         n = hi - lo
         some = (n > 1) | ((n == 1) & (iv[np.minimum(lo, len(iv) - 1)] != pv))
-        lo, n, pv = lo[some], n[some], pv[some]
+        lo, n, pv, pm = lo[some], n[some], pv[some], pm[some]
         ends = np.cumsum(n)
         at = 0
         while at < len(n):  # bounded steps, whatever a segment's frequency
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
             for a in range(0, int(n[at]) if upto == at + 1 else 1, PAIRS):
                 if upto == at + 1:
-                    right = iv[lo[at] + a:lo[at] + min(int(n[at]), a + PAIRS)]
-                    left = np.full(len(right), pv[at])
+                    right = np.arange(lo[at] + a, lo[at] + min(int(n[at]), a + PAIRS))
+                    left = np.full(len(right), at)
                 else:
                     m = n[at:upto]
-                    left = np.repeat(pv[at:upto], m)
-                    right = iv[np.repeat(lo[at:upto], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+                    left = np.repeat(np.arange(at, upto), m)
+                    right = np.repeat(lo[at:upto], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                ok = np.bitwise_count(pm[left] ^ im[right]) <= 2 * TAU
+                left, right = pv[left[ok]], iv[right[ok]]
                 ok = left != right
                 x, y = np.minimum(left, right)[ok].view(np.int64), np.maximum(left, right)[ok].view(np.int64)
                 if len(x):
@@ -179,7 +191,7 @@ def candidates(docs: DataFrame, parts: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([longs(pair[:, 0]), longs(pair[:, 1])], ["a", "b"])
             at = upto
 
-    return docs.mapInArrow(step, "part long, keys binary, lines binary").repartition(parts, "part") \
+    return docs.mapInArrow(step, "part long, keys binary, lines binary, marks binary").repartition(parts, "part") \
         .mapInArrow(meet, "a long, b long").distinct()
 
 
