@@ -10,9 +10,10 @@ is at most ``TAU = 2``.
    its segments into the index, under its length, the segment's number and its hash, and
    probes the indexes of the lengths ``n - TAU .. n`` with its substrings at the positions
    that can matter.  Index and probes meet by the hash, in as many tasks as a shuffle has
-   parts.  Entries and probes carry their line's character parities: an edit flips at most
-   two of these ``MARKS`` bits, so a pair that differs in more than ``2 TAU`` of them has no
-   link, and a frequent segment sends few candidate pairs on to the texts.
+   parts.  Entries and probes carry their line's marks, the parities of its characters and
+   of its pairs of neighbours.  An edit flips at most two of the former and four of the
+   latter, so two lines that differ in more marks than ``TAU`` edits explain have no link,
+   and a frequent segment sends few candidate pairs on to the texts.
 2. Candidates are verified on their texts: an automaton of ``TAU + 1`` bitmaps over the
    ``2 TAU + 1`` diagonals of the band consumes the lines, many pairs at a time.
 3. A line is *equal* when the same line stands earlier (by key, then line number), and
@@ -38,7 +39,7 @@ TAU = 2
 LEAST = 16
 FLUSH = 2_000_000
 PAIRS = 1 << 20
-MARKS = 32
+SINGLES, DOUBLES = 22, 42
 
 
 def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,10 +60,24 @@ def lines_of(buf: np.ndarray, offs: np.ndarray):
 
 
 def marks(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """For each span, which of ``MARKS`` classes of characters occur an odd number of times."""
-    bit = np.uint32(1) << (mix(buf.astype(np.uint64)) % np.uint64(MARKS)).astype(np.uint32)
-    run = np.concatenate([np.zeros(1, np.uint32), np.bitwise_xor.accumulate(bit)])
-    return run[end] ^ run[start]
+    """For each span, which of ``SINGLES`` classes of characters (low bits) and ``DOUBLES``
+    classes of neighbours occur an odd number of times."""
+
+    def parity(values, classes, shift, upto):
+        bit = np.uint64(1) << (mix(values) % np.uint64(classes) + np.uint64(shift))
+        run = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bit)])
+        return run[upto] ^ run[start]
+
+    wide = buf.astype(np.uint64)
+    both = (wide << np.uint64(21)) + np.append(wide[1:], np.uint64(0))
+    return parity(wide, SINGLES, 0, end) | parity(both, DOUBLES, SINGLES, np.maximum(end - 1, start))
+
+
+def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether ``TAU`` edits can explain the difference of two marks."""
+    differ = a ^ b
+    return (np.bitwise_count(differ & np.uint64((1 << SINGLES) - 1)) <= 2 * TAU) \
+        & (np.bitwise_count(differ >> np.uint64(SINGLES)) <= 4 * TAU)
 
 
 def segment(length: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +131,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, parts: int) -> DataFrame:
     """``a < b``: hashes of lines that share a segment where two edits allow it, and whose
-    character parities do not rule a link out."""
+    marks do not rule a link out."""
 
     def step(batches):
         held, size = [], 0
@@ -150,8 +165,7 @@ def candidates(docs: DataFrame, parts: int) -> DataFrame:
         came: dict[str, list] = {"keys": [], "lines": [], "marks": []}
         for b in batches:
             for name, held in came.items():
-                kind = np.uint32 if name == "marks" else np.uint64
-                held += [np.frombuffer(x.as_buffer(), kind) for x in b.column(name)]
+                held += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(name)]
         if not came["keys"]:
             return
         k, v, m = (np.concatenate(held) for held in came.values())
@@ -182,7 +196,7 @@ def candidates(docs: DataFrame, parts: int) -> DataFrame:
                     m = n[at:upto]
                     left = np.repeat(np.arange(at, upto), m)
                     right = np.repeat(lo[at:upto], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                ok = np.bitwise_count(pm[left] ^ im[right]) <= 2 * TAU
+                ok = may_link(pm[left], im[right])
                 left, right = pv[left[ok]], iv[right[ok]]
                 ok = left != right
                 x, y = np.minimum(left, right)[ok].view(np.int64), np.maximum(left, right)[ok].view(np.int64)

@@ -84,3 +84,16 @@ def test_odd_rows(spark, odd, empty):
     assert out.columns == odd.columns and out.count() == odd.count()
     texts = {r.doc_id: r.text for r in out.collect()}
     assert texts[6].startswith("alpha") and texts[7] == "" and texts[1] is None
+
+
+def test_marks_never_rule_out_a_pair_within_two_edits():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a = "".join(chr(c) for c in rng.integers(97, 105, rng.integers(16, 60)))
+        b = a
+        for _ in range(int(rng.integers(0, 3))):
+            at, c = int(rng.integers(0, len(b) + 1)), chr(int(rng.integers(97, 105)))
+            b = [b[:at] + c + b[at:], b[:at] + b[at + 1:], b[:at] + c + b[at + 1:]][int(rng.integers(0, 3))]
+        buf, offs = ln.points([a, b])
+        mark = ln.marks(buf, offs[:-1], offs[1:])
+        assert ln.may_link(mark[:1], mark[1:])[0]
