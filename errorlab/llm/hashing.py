@@ -50,9 +50,14 @@ def prefix(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-def span(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def inverses(pre: np.ndarray) -> np.ndarray:
+    """What :func:`span` needs of ``pre``'s length, for callers that ask many times."""
+    return _powers(_P_INV, len(pre))
+
+
+def span(pre: np.ndarray, start: np.ndarray, end: np.ndarray, inv: np.ndarray | None = None) -> np.ndarray:
     """Hash of ``symbols[start:end]``, element by element."""
-    inv = _powers(_P_INV, len(pre))
+    inv = inverses(pre) if inv is None else inv
     return mix((pre[end] - pre[start]) * inv[start])
 
 

@@ -33,13 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import longs, materialize, pick, table, text_steps
-from .hashing import bounds, mix, prefix, span
+from .hashing import bounds, inverses, mix, prefix, span
 
 TAU = 2
 LEAST = 16
 FLUSH = 2_000_000
 PAIRS = 1 << 20
-SINGLES, DOUBLES = 22, 42
 
 
 def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,25 +58,24 @@ def lines_of(buf: np.ndarray, offs: np.ndarray):
     return start[ok], end[ok], doc[ok], number[ok]
 
 
-def marks(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """For each span, which of ``SINGLES`` classes of characters (low bits) and ``DOUBLES``
-    classes of neighbours occur an odd number of times."""
-
-    def parity(values, classes, shift, upto):
-        bit = np.uint64(1) << (mix(values) % np.uint64(classes) + np.uint64(shift))
-        run = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bit)])
-        return run[upto] ^ run[start]
-
-    wide = buf.astype(np.uint64)
-    both = (wide << np.uint64(21)) + np.append(wide[1:], np.uint64(0))
-    return parity(wide, SINGLES, 0, end) | parity(both, DOUBLES, SINGLES, np.maximum(end - 1, start))
+def marks(buf: np.ndarray, offs: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each line, which of 32 classes of characters (low bits) and 32 classes of
+    neighbours (high bits; a line feed follows the last character) occur an odd number of
+    times."""
+    after = np.append(buf[1:], np.uint32(10))
+    after[offs[1:][offs[1:] > 0] - 1] = 10
+    single = (buf * np.uint32(0x9E3779B1)) >> np.uint32(27)
+    double = ((buf * np.uint32(0x85EBCA77)) ^ (after * np.uint32(0xC2B2AE3D))) * np.uint32(0x27D4EB2F) >> np.uint32(27)
+    bits = (np.uint64(1) << single.astype(np.uint64)) | (np.uint64(1 << 32) << double.astype(np.uint64))
+    run = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits)])
+    return run[end] ^ run[start]
 
 
 def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether ``TAU`` edits can explain the difference of two marks."""
     differ = a ^ b
-    return (np.bitwise_count(differ & np.uint64((1 << SINGLES) - 1)) <= 2 * TAU) \
-        & (np.bitwise_count(differ >> np.uint64(SINGLES)) <= 4 * TAU)
+    return (np.bitwise_count(differ & np.uint64(0xFFFFFFFF)) <= 2 * TAU) \
+        & (np.bitwise_count(differ >> np.uint64(32)) <= 4 * TAU)
 
 
 def segment(length: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,11 +87,11 @@ def segment(length: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
 
 def entries(pre: np.ndarray, start: np.ndarray, end: np.ndarray, line: np.ndarray, mark: np.ndarray):
     """Keys, lines and marks of all index entries (lowest bit 0) and probes (lowest bit 1)."""
-    length = end - start
+    length, inv = end - start, inverses(pre)
     keys, lines, seen = [], [], []
 
     def add(at, size, indexed, i, role, ok):
-        k = mix(span(pre, at[ok], (at + size)[ok]) + mix((indexed[ok] * 4 + i).astype(np.uint64)))
+        k = mix(span(pre, at[ok], (at + size)[ok], inv) + mix((indexed[ok] * 4 + i).astype(np.uint64)))
         keys.append((k & ~np.uint64(1)) | np.uint64(role))
         lines.append(line[ok])
         seen.append(mark[ok])
@@ -138,7 +136,7 @@ def candidates(docs: DataFrame, parts: int) -> DataFrame:
 
         def flush():
             columns = [np.concatenate(c) for c in zip(*held)]
-            owner = ((columns[0] >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+            owner = ((columns[0] >> np.uint64(1)) % np.uint64(parts)).astype(np.min_scalar_type(parts))
             order = np.argsort(owner, kind="stable")
             cut = np.searchsorted(owner[order], np.arange(parts + 1))
             full = np.flatnonzero(np.diff(cut))
@@ -153,7 +151,7 @@ def candidates(docs: DataFrame, parts: int) -> DataFrame:
                 continue
             pre = prefix(buf)
             line, one = np.unique(span(pre, start, end), return_index=True)
-            held.append(entries(pre, start[one], end[one], line, marks(buf, start[one], end[one])))
+            held.append(entries(pre, start[one], end[one], line, marks(buf, offs, start[one], end[one])))
             size += len(held[-1][0])
             if size > FLUSH:
                 yield from flush()

@@ -95,5 +95,5 @@ def test_marks_never_rule_out_a_pair_within_two_edits():
             at, c = int(rng.integers(0, len(b) + 1)), chr(int(rng.integers(97, 105)))
             b = [b[:at] + c + b[at:], b[:at] + b[at + 1:], b[:at] + c + b[at + 1:]][int(rng.integers(0, 3))]
         buf, offs = ln.points([a, b])
-        mark = ln.marks(buf, offs[:-1], offs[1:])
+        mark = ln.marks(buf, offs, offs[:-1], offs[1:])
         assert ln.may_link(mark[:1], mark[1:])[0]
