@@ -78,18 +78,22 @@ def zero_diagonal(cells: DataFrame, i: str = "i", j: str = "j", v: str = "v") ->
 # X5 ------------------------------------------------------------------------
 def embed(tokens: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
           max_vectors: int | None = None) -> DataFrame:
-    """Frozen vector per token id; id 0 (unknown / padding) gets none."""
+    """Frozen vector per token id.  Every token stays: id 0 (unknown / padding) and ids
+    without a vector get NULL."""
     from . import sizing
     v = sizing.broadcast_if_small(vectors.select(id_col, vec_col), 1_000_000, bound=max_vectors)
-    return tokens.filter(F.col(id_col) != 0).join(v, id_col)
+    return tokens.join(v.filter(F.col(id_col) != 0), id_col, "left")
 
 
 # X6 ------------------------------------------------------------------------
-def max_pool(embedded: DataFrame, group_col: str, vec_col: str = "embedding") -> DataFrame:
+def max_pool(embedded: DataFrame, group_col: str, width: int, vec_col: str = "embedding") -> DataFrame:
     """Maximum per dimension over time: ``(group, dim, max_v)`` (partial
-    aggregation before the shuffle)."""
-    return embedded.select(group_col, F.posexplode(vec_col).alias("dim", "_v")) \
-        .groupBy(group_col, "dim").agg(F.max(F.col("_v").cast("double")).alias("max_v"))
+    aggregation before the shuffle).  Every group has ``width`` rows; tokens without a
+    vector don't count, and a group of such tokens only has NULL in every dimension."""
+    none = F.array_repeat(F.lit(None), width).cast("array<double>")
+    vec = F.coalesce(F.col(vec_col).cast("array<double>"), none)
+    return embedded.select(group_col, F.posexplode(vec).alias("dim", "_v")) \
+        .groupBy(group_col, "dim").agg(F.max("_v").alias("max_v"))
 
 
 # ---------------------------------------------------------------------------

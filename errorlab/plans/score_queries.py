@@ -381,13 +381,12 @@ def m7(fx):
 def m8(fx):
     pp = pairs_pred(fx)
     prior = (pp.filter(~F.col("is_error")).groupBy("original_code").count()
-             .orderBy(F.desc("count"), "original_code").limit(1))
+             .orderBy(F.desc("count"), "original_code").limit(1).select("original_code").scalar())
     uni = rng.pick(len(CONFUSABLES), P.seed, "uniform", F.col("pair_id"), F.col("is_error").cast("string"))
     acc = lambda c: r6(F.avg(c.cast("double")))
-    base = pp.withColumn("_k", F.lit(1)).join(
-        F.broadcast(prior.select(F.lit(1).alias("_k"), F.col("original_code").alias("_prior"))), "_k").agg(
+    base = pp.agg(
         acc(F.col("current_code") == F.col("original_code")).alias("no_change"),
-        acc(F.col("original_code") == F.col("_prior")).alias("prior"),
+        acc(F.col("original_code") == prior).alias("prior"),
         acc(F.col("original_code") == uni).alias("uniform"),
         acc(F.col("pred") == F.col("original_code")).alias("bigram"))
     return base.select(F.explode(F.array(*[F.struct(F.lit(n).alias("baseline"), F.col(n).alias("accuracy"))

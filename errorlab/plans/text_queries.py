@@ -77,14 +77,16 @@ def t9(fx):
 
 @register("T10_encode_chars", with_fixtures("""
     SELECT term, string_agg(CAST(coalesce(c.char_id, sp.char_id) AS VARCHAR), ',' ORDER BY i) AS codes
-    FROM (SELECT term, unnest(string_split(rpad(term, 15, ' '), '')) AS ch,
-                 unnest(range(15)) AS i FROM vocab) x
+    FROM (SELECT term, unnest(string_split(rpad(term, w, ' '), '')) AS ch, unnest(range(w)) AS i
+          FROM vocab, (SELECT CAST(greatest(15, max(length(term))) AS INT) AS w FROM vocab)) x
     LEFT JOIN char_vocab c ON x.ch = c.ch
     CROSS JOIN (SELECT char_id FROM char_vocab WHERE ch = ' ') sp
     GROUP BY term""", "vocab", "char_vocab"))
 def t10(fx):
     chars = T.char_vocab(fx.words())
-    coded = T.encode_chars(fx.vocab().select("term"), "term", "codes", P.max_token_length, chars)
+    vocab = fx.vocab().select("term")
+    longest = vocab.agg(F.max(F.length("term"))).first()[0] or 0  # no term is cut
+    coded = T.encode_chars(vocab, "term", "codes", max(P.max_token_length, longest), chars)
     return coded.select("term", F.array_join("codes", ",").alias("codes"))
 
 
