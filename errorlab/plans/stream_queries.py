@@ -16,11 +16,11 @@ from .score_queries import r6, scores
 from .sequence_queries import epochs
 
 
-def _derived(fx, df, name):
+def _derived(fx, df, name, key):
     """Write a Spark-derived table into the shared checkpoint folder, as files
-    a stream can pick up."""
+    a stream can pick up; rows of one key arrive together."""
     path = os.path.join(checkpoint_dir(fx.spark), "derived", f"{name}-{uuid.uuid4().hex}")
-    df.repartition(4).write.mode("overwrite").parquet(path)
+    df.repartition(4, key).write.mode("overwrite").parquet(path)
     return path
 
 
@@ -42,12 +42,17 @@ def z2(fx):
                       r6(F.col("mean_value")).alias("mean_value"))
 
 
-@register("Z3_stream_early_stop")
+@register("Z3_stream_early_stop", with_fixtures("""
+    SELECT CAST(run_id AS BIGINT) AS run_id, CAST(epoch AS INT) AS stop_epoch, CAST(best_epoch AS INT) AS best_epoch,
+           round(best, 6) AS best
+    FROM best_so_far WHERE epoch - best_epoch > 3
+    QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY epoch) = 1""", "best_so_far"))
 def z3(fx):
     ep = epochs(fx).select(F.col("run_id").cast("long"), F.col("epoch").cast("int"), "val_loss")
-    path = _derived(fx, ep, "epochs")
+    path = _derived(fx, ep, "epochs", "run_id")
     stream = fx.spark.readStream.schema(ep.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return Z.drain(Z.stream_early_stop(stream, 3), "z3", "append")
+    out = Z.drain(Z.stream_early_stop(stream, 3), "z3", "append")
+    return out.select("run_id", "stop_epoch", "best_epoch", r6(F.col("best")).alias("best"))
 
 
 @register("Z4_stream_score", with_fixtures(
@@ -55,6 +60,6 @@ def z3(fx):
     "scored"))
 def z4(fx):
     s = scores(fx)
-    path = _derived(fx, s, "scores")
+    path = _derived(fx, s, "scores", "vec_id")
     stream = fx.spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return Z.drain(Z.stream_score(stream), "z4", "append")

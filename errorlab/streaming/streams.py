@@ -36,8 +36,15 @@ def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None,
 
 
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming DataFrame to completion into a memory table."""
+    """Run a streaming DataFrame to completion.  Appended rows go to Parquet files in
+    the shared folder, each exactly once; only a complete-mode result (counts per
+    group, rewritten by every batch) is kept in a memory table."""
     spark = df.sparkSession
+    if mode == "append":
+        path = _ckpt(spark, f"{name}-out")
+        df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", _ckpt(spark, name)) \
+            .trigger(availableNow=True).start(path).awaitTermination()
+        return spark.read.schema(df.schema).parquet(path)
     table = f"{name}_{uuid.uuid4().hex[:8]}"
     q = (df.writeStream.format("memory").queryName(table).outputMode(mode)
          .option("checkpointLocation", _ckpt(spark, name)).trigger(availableNow=True).start())
