@@ -19,6 +19,13 @@ def test_pair_ranker_answers_every_test_example(spark):
     assert sum(r.correct for r in got) / len(got) > 0.4
 
 
+def test_grid_search_repeats(spark):
+    first, again = (sorted(map(tuple, E.queries()["L5_grid_search"](spark, SF_SMALL).collect())) for _ in range(2))
+    assert [r for r, _ in first] == [0.0, 0.01, 0.1]
+    assert min(a for _, a in first) > 1 / 9  # better than a guess among nine words
+    assert first == again
+
+
 def test_tokens_without_a_vector_stay(spark):
     tokens = spark.createDataFrame([(1, 0, 5), (1, 1, 0), (1, 2, 9), (2, 0, 9)], "doc_id long, pos int, vec_id long")
     vectors = spark.createDataFrame([(5, [1.0, -2.0]), (0, [9.0, 9.0])], "vec_id long, embedding array<double>")
