@@ -153,6 +153,7 @@ def save_scores(scores: DataFrame, path: str, partition_col: str = "split") -> N
 
 
 # S13 -----------------------------------------------------------------------
+# The columns of the judgement files.
 JUDGEMENT_SCHEMA = ("sent_id long, sentence string, correct_preposition string, confidence string, "
                     "sentence_quality string")
 
@@ -174,6 +175,7 @@ def read_word_list(spark: SparkSession, path: str, col: str = "word") -> DataFra
 
 
 # S16 -----------------------------------------------------------------------
+# Fixed value: the format of a training log line.
 RUN_LOG_RX = r"loss: ([0-9.eE+-]+) - acc: ([0-9.eE+-]+) - val_loss: ([0-9.eE+-]+) - val_acc: ([0-9.eE+-]+)"
 
 
