@@ -14,14 +14,17 @@ passages which many documents share count less, but copies in a large group stay
    their weighted Jaccard similarity.
 2. Documents with the same weighted set form a node, so copies are never expanded.
    Bands of ``ROWS`` samples are the buckets.
-3. In each bucket up to ``PIVOTS`` components (one in the first round) are compared, by
-   one delegate each, with a delegate of every other component known so far: a number of
-   pairs in proportion to the bucket, never all of them.  A pair
-   counts as a link when its exact weighted Jaccard similarity reaches the threshold.
-   Links merge components.  Further rounds do the same in the intersections of two
-   bands, all pairs of bands in turn, where the closest texts of a large bucket meet;
-   they end early when one finds nothing.
-4. The result names for each document the smallest key of its component.
+3. A pair counts as a link when its exact weighted Jaccard similarity reaches the
+   threshold.  Two rounds of few pairs come first, so that a large group of near copies
+   is one component early: in each bucket, then in the intersections of two neighbouring
+   bands, one delegate of each component against up to ``PIVOTS`` of them.
+4. Then every pair of nodes that share a band and are not in one component yet is compared,
+   in the first band they share.  A bucket is dealt into blocks of about ``BLOCK`` nodes,
+   a component with as many nodes there into blocks of its own, and each pair of blocks
+   that can hold two components is one group of rows.  So the classes are the components
+   of all links that share a band; the time for a bucket of texts that stay apart grows
+   with the square of their number, the memory of a task does not.
+5. The result names for each document the smallest key of its component.
 
 Documents without words (null, empty) have no shingles and are never linked.  Rows with
 a null key take part but cannot be a class id unless alone.  Rows that repeat a key have
@@ -46,6 +49,7 @@ BANDS, ROWS = 10, 4
 TABLE = 1 << 16
 DAMP = 0.25
 PIVOTS = 4
+BLOCK = 64
 THRESHOLD = 0.8
 
 _rng = np.random.default_rng(2010)
@@ -204,8 +208,13 @@ def verify(pairs: DataFrame, vecs: DataFrame, idf, threshold: float) -> DataFram
 
 def similarity(ha, ta, hb, tb, idf: np.ndarray) -> float:
     wa, wb = (1 + np.log(ta)) * idf[counter(ha)], (1 + np.log(tb)) * idf[counter(hb)]
-    _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    low = np.minimum(wa[i], wb[j]).sum()
+    return weighted_jaccard(ha, wa, hb, wb)
+
+
+def weighted_jaccard(ha, wa, hb, wb) -> float:
+    j = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
+    same = hb[j] == ha
+    low = np.minimum(wa[same], wb[j[same]]).sum()
     return float(low / (wa.sum() + wb.sum() - low))
 
 
@@ -223,24 +232,14 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     held = materialize(nodes.join(member.select("node").distinct(), "node", "left_semi"), "held")
     vecs = materialize(vectors(docs, held.select("node", "doc_id")), "vectors")
     known = held.select("node", F.col("node").alias("component"))
-    tried = None
-    for rounds in range(1, 2 + BANDS // 2):
-        # Later rounds look into the intersections of two bands, where the closest texts meet.
-        inner = member.select("bucket", "node") if rounds == 1 else held.select("node", F.explode(F.transform(
+    for rounds in (1, 2):
+        # The second round looks into the intersections of two bands, where the closest texts meet.
+        inner = member if rounds == 1 else held.select("node", F.explode(F.transform(
             F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(
-                F.col("keys")[i], F.col("keys")[(i + rounds - 1) % BANDS]))).alias("bucket"))
-        pairs = _delegates(inner.join(known, "node"), rounds)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if not pairs.limit(1).count():
-            continue
-        found = materialize(verify(pairs, vecs, idf, threshold), "found")
-        if found.limit(1).count():
-            known = _merge(known, found)
-        elif rounds > 2:
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
+                F.col("keys")[i], F.col("keys")[(i + 1) % BANDS]))).alias("bucket"))
+        pairs = materialize(_delegates(inner.select("bucket", "node").join(known, "node"), rounds), "pairs")
+        known = _merge(known, materialize(verify(pairs, vecs, idf, threshold), "found"))
+    known = _merge(known, materialize(remaining_links(member, known, held, vecs, idf, threshold), "found"))
     classes = known.join(nodes.select("node", "doc_id"), "node") \
         .groupBy("component").agg(F.min("doc_id").alias("class_id")).join(known, "component").select("node", "class_id")
     named = nodes.select("node", "doc_id").join(classes, "node", "left") \
@@ -262,6 +261,79 @@ def _delegates(member: DataFrame, turn: int) -> DataFrame:
         .distinct()
 
 
+def remaining_links(member: DataFrame, known: DataFrame, held: DataFrame, vecs: DataFrame, idf,
+                    threshold: float) -> DataFrame:
+    """Links ``a, b`` that join all components of ``known(node, component)`` which a pair
+    of nodes in a bucket of ``member(bucket, node)`` links."""
+    at = member.select("bucket", "node").join(known, "node")
+    sizes = at.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("components"),
+                                        F.sum(F.when(F.col("n") < BLOCK, F.col("n"))).alias("small")) \
+        .where("components > 1").select("bucket", "small")
+    own = F.col("n") >= BLOCK
+    number = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.when(own, F.col("n")).otherwise(F.col("small")) / BLOCK))
+    # No side has a bound, so none is ever broadcast.
+    placed = materialize(
+        at.hint("merge").join(sizes.hint("merge").join(mixed, "bucket"), ["bucket", "component"])
+        .select("bucket", "node", "component", F.struct(
+            own.alias("own"), F.when(own, F.col("component")).otherwise(0).alias("of"), number.alias("number")).alias("block")),
+        "blocks")
+    blocks = placed.select("bucket", "block").distinct()
+    met = blocks.withColumnRenamed("block", "l").hint("merge").join(blocks.withColumnRenamed("block", "r"), "bucket") \
+        .where((F.col("l") <= F.col("r")) & ~(F.col("l.own") & F.col("r.own") & (F.col("l.of") == F.col("r.of"))))
+    groups = met.select("bucket", F.struct("bucket", "l", "r").alias("group"),
+                        F.explode(F.array_distinct(F.array("l", "r"))).alias("block"))
+    rows = groups.hint("merge").join(placed, ["bucket", "block"]).select(
+        F.to_json("group").alias("group"), (F.col("block") != F.col("group.l")).alias("right"),
+        (F.col("group.l") == F.col("group.r")).alias("alone"), "bucket", "node", "component")
+    full = vecs.hint("merge").join(held.select("node", "keys"), "node")
+    rows = rows.hint("merge").join(full, "node").repartition("group").sortWithinPartitions("group")
+
+    def step(batches):
+        name, rest = None, []
+        for b in batches:
+            for row in zip(*(b.column(n).to_pylist() for n in ("group", "right", "alone", "bucket", "node", "component",
+                                                               "keys", "shingles", "times"))):
+                if row[0] != name:
+                    if rest:
+                        yield links_of(rest, idf.value, threshold)
+                    name, rest = row[0], []
+                rest.append(row[1:])
+        if rest:
+            yield links_of(rest, idf.value, threshold)
+
+    return rows.mapInArrow(step, "a long, b long")
+
+
+def links_of(rows: list[tuple], idf: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """Links between the two blocks of a group (or inside its only one) that join all
+    components it links: ``right, alone, bucket, node, component, keys, shingles, times``."""
+    right = np.array([r[0] for r in rows])
+    keys = np.array([r[5] for r in rows], np.int64)
+    h = [np.frombuffer(r[6], np.uint64) for r in rows]
+    w = [(1 + np.log(np.frombuffer(r[7], np.int32))) * idf[counter(x)] for r, x in zip(rows, h)]
+    total = np.array([x.sum() for x in w])
+    band = int(np.argmax(keys[0] == rows[0][2]))
+    top: dict[int, int] = {}
+
+    def find(c):
+        while top.get(c, c) != c:
+            c = top[c]
+        return c
+
+    out = []
+    for i in range(len(rows)):
+        j = np.arange(i + 1, len(rows)) if rows[i][1] else np.flatnonzero(right & ~right[i])
+        # The similarity is at most the ratio of the weights; an earlier band has compared the pair.
+        like = np.minimum(total[j], total[i]) >= threshold * (1 - 1e-6) * np.maximum(total[j], total[i])
+        for k in j[like & ~(keys[j, :band] == keys[i, :band]).any(1)]:
+            a, b = find(rows[i][4]), find(rows[k][4])
+            if a != b and weighted_jaccard(h[i], w[i], h[k], w[k]) >= threshold:
+                top[a] = b
+                out.append(sorted((rows[i][3], rows[k][3])))
+    return pa.RecordBatch.from_arrays([longs([x[0] for x in out]), longs([x[1] for x in out])], ["a", "b"])
+
+
 def _merge(known: DataFrame, found: DataFrame) -> DataFrame:
     """Components after the links of a round, contracted to the components before it."""
     at = known.withColumnRenamed("component", "c")

@@ -88,3 +88,42 @@ def test_components(spark, edges, n):
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert len(got) == n
     assert all(got[x] == (1 if x < 6 else 8) for x in got)
+
+
+def test_links_inside_a_template_family(spark):
+    """Texts that share most of a template but stay apart, and pairs of them that do not."""
+    rnd = random.Random(8)
+    template = [f"t{i}" for i in range(240)]
+    rows = []
+    for i in range(700):
+        own = [f"u{i}x{j}" for j in range(34)]
+        rows.append((2 * i, " ".join(template + own)))
+        if i % 5 == 0:
+            at = rnd.randrange(5, 120)
+            twin = template[:at] + [f"v{i}"] + template[at + 1:]
+            rows.append((2 * i + 1, " ".join(twin + own[:-16] + [f"z{i}x{j}" for j in range(16)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id) for r in nd.link_classes(docs).collect()), key=str)
+    assert got == linked_by_band(rows)
+
+
+def linked_by_band(rows):
+    """As ``brute_classes``, over the pairs that share a band."""
+    arr = pa.array([t for _, t in rows], pa.string())
+    h, tf, offs = nd.weighted_sets(arr)
+    doc = np.repeat(np.arange(len(rows)), np.diff(offs))
+    seen = np.bincount(np.unique(doc * nd.SKETCH + nd.counter(h)) % nd.SKETCH, minlength=nd.SKETCH)
+    idf = nd.idf_table(seen, len(rows))
+    keys = nd.bands(nd.sample(h, (1 + np.log(tf)) * idf[nd.counter(h)], offs))
+    sets = [(h[i:j], tf[i:j]) for i, j in zip(offs, offs[1:])]
+    label = np.arange(len(rows))
+    n = [0, 0]
+    for a in range(len(rows)):
+        for b in np.flatnonzero((keys[a + 1:] == keys[a]).any(1)) + a + 1:
+            n[0] += 1
+            if label[a] != label[b] and nd.similarity(*sets[a], *sets[b], idf) >= nd.THRESHOLD:
+                label[label == label[b]] = label[a]
+                n[1] += 1
+    assert n[1] > 50 and n[0] > 20 * n[1]
+    ids = np.array([d for d, _ in rows])
+    return sorted(((int(d), int(ids[label == x].min())) for d, x in zip(ids, label)), key=str)
