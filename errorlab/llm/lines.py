@@ -1,15 +1,16 @@
 """Line dedup: a segment-partition edit join over the distinct lines of all documents.
 
-Lines are what stands between line feeds, of ``LEAST`` or more characters (code points);
-shorter lines are left alone.  Two different lines are linked when their edit distance
-is at most ``TAU = 2``.
+Lines are what stands between line feeds, of one or more characters (code points).  Two
+different lines are linked when their edit distance is at most ``TAU = 2`` and at most
+half the length of the longer one, which limits lines of up to three characters.
 
 1. A line is split into ``TAU + 1`` segments of nearly equal length.  Two edits leave one
    of them untouched, so a linked line of equal or greater length holds it at a
    position shifted by as much as the edits before it allow.  Each distinct line enters
    its segments into the index, under its length, the segment's number and its hash, and
    probes the indexes of the lengths ``n - TAU .. n`` with its substrings at the positions
-   that can matter.  Index and probes meet by the hash, in as many tasks as a shuffle has
+   that can matter.  Empty segments, of lines of one or two characters, are left out: a
+   link within the bound leaves another one untouched.  Index and probes meet by the hash, in as many tasks as a shuffle has
    parts.  Entries and probes carry their line's marks, the parities of its characters and
    of its pairs of neighbours.  An edit flips at most two of the former and four of the
    latter, so two lines that differ in more marks than ``TAU`` edits explain have no link,
@@ -36,7 +37,7 @@ from .common import longs, materialize, pick, table, text_steps
 from .hashing import bounds, inverses, mix, prefix, span
 
 TAU = 2
-LEAST = 16
+LEAST = 1
 FLUSH = 2_000_000
 PAIRS = 1 << 20
 
@@ -48,7 +49,7 @@ def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lines_of(buf: np.ndarray, offs: np.ndarray):
-    """Start, end, text and number of each long enough line."""
+    """Start, end, text and number of each line of ``LEAST`` or more characters."""
     feed = buf == 10
     start, end, first = bounds(~feed, offs)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
@@ -98,22 +99,23 @@ def entries(pre: np.ndarray, start: np.ndarray, end: np.ndarray, line: np.ndarra
 
     for i in range(TAU + 1):
         at, size = segment(length, i)
-        add(start + at, size, length, i, 0, np.ones(len(start), bool))
+        add(start + at, size, length, i, 0, size > 0)
         for less in range(TAU + 1):
             indexed = length - less
             at, size = segment(indexed, i)
-            lo = np.maximum(at - i, at + less - (TAU - i))
-            hi = np.minimum(at + i, at + less + (TAU - i))
+            few = indexed <= TAU  # with an empty segment the others are sought wherever edits can move them
+            lo = np.where(few, at - TAU, np.maximum(at - i, at + less - (TAU - i)))
+            hi = np.where(few, at + TAU, np.minimum(at + i, at + less + (TAU - i)))
             for step in range(2 * TAU + 1):
                 p = lo + step
-                ok = (p <= hi) & (p >= 0) & (p + size <= length) & (indexed >= LEAST)
+                ok = (p <= hi) & (p >= 0) & (p + size <= length) & (indexed >= LEAST) & (size > 0)
                 if ok.any():
                     add(start + p, size, indexed, i, 1, ok)
     return np.concatenate(keys), np.concatenate(lines), np.concatenate(seen)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``line, doc_id, number`` of every long enough line."""
+    """``line, doc_id, number`` of every line."""
 
     def step(batches):
         for b in text_steps(batches):
@@ -207,6 +209,11 @@ def candidates(docs: DataFrame, parts: int) -> DataFrame:
         .mapInArrow(meet, "a long, b long").distinct()
 
 
+def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The most edits that link lines of lengths ``a`` and ``b``."""
+    return np.minimum(TAU, np.maximum(a, b) // 2)
+
+
 def within(a: list[np.ndarray], b: list[np.ndarray], tau: int = TAU) -> np.ndarray:
     """Edit distances of pairs of code point arrays; ``tau + 1`` stands for more.
 
@@ -273,7 +280,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b, distance`` of the pairs within ``TAU`` edits."""
+    """``a, b, distance`` of the pairs within the bound of their lengths."""
     left, right = (texts.select(F.col("line").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
     both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "ta", "tb")
 
@@ -283,7 +290,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     for n in ("ta", "tb"))
             edits = within(a, c).astype(np.int32)
             out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(edits)], ["a", "b", "distance"])
-            yield out.filter(pa.array(edits <= TAU))
+            yield out.filter(pa.array(edits <= bound(*(np.array([len(x) for x in s], np.int64) for s in (a, c)))))
 
     return both.mapInArrow(step, "a long, b long, distance int")
 

@@ -1,5 +1,6 @@
 """Line dedup against brute force, and the bit-parallel distance against the plain one."""
 
+import itertools
 import random
 
 import numpy as np
@@ -97,3 +98,21 @@ def test_marks_never_rule_out_a_pair_within_two_edits():
         buf, offs = ln.points([a, b])
         mark = ln.marks(buf, offs, offs[:-1], offs[1:])
         assert ln.may_link(mark[:1], mark[1:])[0]
+
+
+def test_short_lines(spark):
+    rnd = random.Random(6)
+    pool = ["".join(rnd.choice("abcd ") for _ in range(rnd.randrange(1, 16))) for _ in range(120)]
+    pool += [s for n in (1, 2, 3) for s in map("".join, itertools.product("ab", repeat=n))]
+    rows = [(d, "\n".join(rnd.choice(pool) for _ in range(6))) for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, first, links = ln.edit_join(docs)
+    lines = sorted({s for _, t in rows for s in t.split("\n")})
+    assert first.count() == len(lines) and seen.count() == 6 * len(rows)
+    place = {(r.doc_id, r.number): r.line for r in first.collect()}
+    name = {line: rows[d][1].split("\n")[i] for (d, i), line in place.items()}
+    want = {(s, t): distance(s, t) for i, s in enumerate(lines) for t in lines[i + 1:]
+            if distance(s, t) <= min(ln.TAU, max(len(s), len(t)) // 2)}
+    assert {tuple(sorted((name[r.a], name[r.b]))): r.distance for r in links.collect()} == want
+    counted = sum(r.n_equal for r in ln.report(docs).collect())
+    assert counted == 6 * len(rows) - len(lines)
