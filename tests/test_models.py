@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from support import SF_SMALL
 from errorlab.operators import sequences as X
 from errorlab.plans import io_model_queries as Q
 from errorlab.plans.fixtures import Fx

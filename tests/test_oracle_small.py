@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from support import SF_SMALL
 from errorlab.session import TABLES
 
 SLOW = {"L1_train_detector", "L2_train_pair_ranker", "L3_train_corrector", "L5_grid_search", "R8_learning_curve",

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from support import SF_SMALL
 
 H_QUERIES = ["T5_top_terms", "T7_downsample_terms", "W1_leading_context", "C5_corrupt", "N1_candidates",
              "D3_group_split", "P5_margin_top_two", "M2_prf_per_class", "M9_pr_curve", "B1_balance_pairs",
