@@ -180,6 +180,8 @@ def candidates(docs: DataFrame, parts: int) -> DataFrame:
             new[1:] = (kk[1:] != kk[:-1]) | (vv[1:] != vv[:-1])
             sides.append((kk[new], vv[new], mm[new]))
         (ik, iv, im), (pk, pv, pm) = sides
+        if not len(ik) or not len(pk):  # nothing to meet here
+            return
         lo, hi = np.searchsorted(ik, pk, "left"), np.searchsorted(ik, pk, "right")
         n = hi - lo
         some = (n > 1) | ((n == 1) & (iv[np.minimum(lo, len(iv) - 1)] != pv))

@@ -7,6 +7,7 @@ from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .lines import op9_line_dedup
 from .near_dedup import op5_near_dedup
 from .packing import op4_best_fit_packing
+from .pieces import op13_piece_codec
 from .quality import op3_quality
 from .repeats import op6_suffix_dedup
 from .secrets import op1_secret_scan
@@ -15,5 +16,5 @@ from .toxicity import op2_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_toxicity, op3_quality, op4_best_fit_packing, op5_near_dedup, op6_suffix_dedup,
-    op7_decontaminate, op8_exact_dedup, op9_line_dedup, op10_token_output)}
+    op7_decontaminate, op8_exact_dedup, op9_line_dedup, op10_token_output, op13_piece_codec)}
 ORACLE_SQL = {"op7_decontaminate": OP7_SQL, "op8_exact_dedup": OP8_SQL}

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from errorlab.llm import lines as ln
 
@@ -116,3 +117,16 @@ def test_short_lines(spark):
     assert {tuple(sorted((name[r.a], name[r.b]))): r.distance for r in links.collect()} == want
     counted = sum(r.n_equal for r in ln.report(docs).collect())
     assert counted == 6 * len(rows) - len(lines)
+
+
+@pytest.mark.parametrize("parts", [1, 8, 64, 211])
+def test_few_rows_over_any_number_of_partitions(spark, parts):
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        for texts in (["alpha beta gamma"], ["alpha beta gamma", "delta eps"], ["one line", "one line", "one lime"]):
+            docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+            assert ln.drop_lines(docs).count() == len(texts)
+            ln.report(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
