@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metrics as M
@@ -53,6 +53,13 @@ def all_judgements(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def sentences(*parts: DataFrame, text_col: str = "sentence") -> DataFrame:
+    """``(sent_id, sentence)`` of all judgement files, each sentence once (the first in
+    order where files differ)."""
+    told = all_judgements(*[p.select("sent_id", text_col) for p in parts])
+    return told.groupBy("sent_id").agg(F.min(text_col).alias(text_col))
+
+
 # A5 ------------------------------------------------------------------------
 def kappa_pairs(j: DataFrame, label_col: str = "label") -> DataFrame:
     """Cohen's kappa and common n for every annotator pair, both directions."""
@@ -97,16 +104,54 @@ def prf_per_annotator(j: DataFrame, truth_id: int, label_col: str = "label_code"
 
 
 # A8 ------------------------------------------------------------------------
+def log_gamma(x: Column) -> Column:
+    """Natural logarithm of the gamma function for x > 0: Stirling's series behind eight
+    steps of the recurrence (relative error below 1e-12)."""
+    z = x + 8
+    head = sum((F.log(x + i) for i in range(1, 8)), F.log(x))
+    series = 1 / (12 * z) - 1 / (360 * F.pow(z, 3)) + 1 / (1260 * F.pow(z, 5)) - 1 / (1680 * F.pow(z, 7))
+    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + series - head
+
+
+def incomplete_beta(a: Column, b: Column, x: Column, terms: int = 200) -> Column:
+    """The regularised incomplete beta function I_x(a, b): its continued fraction,
+    evaluated from the last of ``terms`` coefficients inwards, on the side where it
+    converges fast."""
+    def fraction(p: Column, q: Column, t: Column) -> Column:
+        def term(tail: Column, m: Column) -> Column:
+            k = F.floor(m / 2)
+            even = k * (q - k) * t / ((p + 2 * k - 1) * (p + 2 * k))
+            odd = -(p + k) * (p + q + k) * t / ((p + 2 * k) * (p + 2 * k + 1))
+            return 1 + F.when(m % 2 == 0, even).otherwise(odd) / tail
+
+        tail = F.aggregate(F.sequence(F.lit(terms), F.lit(1), F.lit(-1)), F.lit(1.0), term)
+        front = F.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * F.log(t) + q * F.log(1 - t))
+        return front / (p * tail)
+
+    inner = F.when(x < (a + 1) / (a + b + 2), fraction(a, b, x)).otherwise(1 - fraction(b, a, 1 - x))
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(inner)
+
+
+def correlation_p(rho: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation of ``n`` pairs: Student's t with n - 2 degrees of
+    freedom (null below three pairs)."""
+    df = (n - 2).cast("double")
+    r2 = F.least(rho * rho, F.lit(1.0))
+    return F.when(df > 0, F.when(r2 >= 1 - 1e-15, 0.0).otherwise(incomplete_beta(df / 2, F.lit(0.5), 1 - r2)))
+
+
 def metric_rank_corr(per: DataFrame, metric: str = "fscore") -> DataFrame:
-    """Spearman correlation of a per-label metric for every annotator pair:
-    average ranks (ties share the mean rank), then Pearson of the ranks."""
+    """Spearman correlation of a per-label metric for every annotator pair, both
+    directions, with its p-value: average ranks (ties share the mean rank), then Pearson of
+    the ranks."""
     w = Window.partitionBy("annotator_id").orderBy(F.col(metric))
     wt = Window.partitionBy("annotator_id", metric)
     ranked = per.withColumn("_r", F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / 2.0)
     a = ranked.select(F.col("annotator_id").alias("a"), "class_id", F.col("_r").alias("ra"))
     b = ranked.select(F.col("annotator_id").alias("b"), "class_id", F.col("_r").alias("rb"))
-    return a.join(b, "class_id").filter(F.col("a") < F.col("b")).groupBy("a", "b").agg(
+    pairs = a.join(b, "class_id").filter(F.col("a") != F.col("b")).groupBy("a", "b").agg(
         F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return pairs.withColumn("p", correlation_p(F.col("rho"), F.col("n")))
 
 
 # A9 ------------------------------------------------------------------------
@@ -122,10 +167,19 @@ def confidence_by_prob_bin(human: DataFrame, model: DataFrame, bins: int = 10) -
 
 
 # A10 -----------------------------------------------------------------------
-def disagreements(j: DataFrame, a: int, b: int, c: int, label_col: str = "label") -> DataFrame:
-    """Sentences judged by a, b and c where a and b agree and c differs."""
+def disagreements(j: DataFrame, a: int, b: int, c: int, label_col: str = "label",
+                  sentences: DataFrame | None = None, written: DataFrame | None = None) -> DataFrame:
+    """Sentences judged by a, b and c where a and b agree and c differs.
+
+    With ``written`` (``sent_id, label``: what stands in the text) a flag says whether the
+    agreed label differs from it; with ``sentences`` the sentence comes along.
+    """
     wide = j.filter(F.col("annotator_id").isin(a, b, c)).groupBy("sent_id").pivot("annotator_id", [a, b, c]) \
         .agg(F.first(label_col))
     la, lb, lc = F.col(str(a)), F.col(str(b)), F.col(str(c))
-    return wide.filter(la.isNotNull() & lb.isNotNull() & lc.isNotNull() & (la == lb) & (la != lc)) \
+    out = wide.filter(la.isNotNull() & lb.isNotNull() & lc.isNotNull() & (la == lb) & (la != lc)) \
         .select("sent_id", la.alias("label_ab"), lc.alias("label_c"))
+    if written is not None:
+        out = out.join(written.select("sent_id", F.col(label_col).alias("_w")), "sent_id", "left") \
+            .withColumn("modified", ~F.col("_w").eqNullSafe(F.col("label_ab"))).drop("_w")
+    return out if sentences is None else out.join(sentences, "sent_id", "left")

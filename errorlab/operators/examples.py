@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
@@ -86,15 +86,27 @@ def build_examples(docs: DataFrame, vocab: DataFrame, nearest_df: DataFrame, cha
                     "n_token_errors", "n_context_errors"))
     if not encode:
         return ex
-    codes = T.char_encoder(chars)
-    if codes is None:
-        raise ValueError("character table too large for a literal lookup")
+    return T.encode_columns(ex, chars, {
+        "full_error": ("full_window", spec.window_width),
+        "leading_context": ("lead_c", spec.lead + spec.max_ctx),
+        "spelling_error": ("corrupt_token", spec.max_token_length + max(spec.n_token_errors)),
+        "trailing_context": ("trail_c", spec.trail + spec.max_ctx)})
 
-    return (ex.withColumn("full_error", codes(F.col("full_window"), spec.window_width))
-              .withColumn("leading_context", codes(F.col("lead_c"), spec.lead + spec.max_ctx))
-              .withColumn("spelling_error", codes(F.col("corrupt_token"),
-                                                  spec.max_token_length + max(spec.n_token_errors)))
-              .withColumn("trailing_context", codes(F.col("trail_c"), spec.trail + spec.max_ctx)))
+
+def corrupted_occurrences(tokens: DataFrame, vocab: DataFrame, spec: ExampleSpec = ExampleSpec(),
+                          max_features: int = 100_000) -> DataFrame:
+    """The examples of ``build_examples`` without contexts and nearest words: same rows,
+    keys and spellings (draws depend on the keys alone), one narrow stage over the tokens."""
+    v = sizing.broadcast_if_small(
+        vocab.filter(F.length("term") <= spec.max_token_length).select("term", "term_id"), bound=max_features)
+    ex = tokens.join(v, tokens["token"] == v["term"]).drop("token") \
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(spec.copies))))
+    ex = C.corrupt(ex, spec.n_token_errors, token_col="term", out="corrupt_token", seed=spec.seed,
+                   key_cols=("doc_id", "pos", "copy"))
+    context_id = F.col("doc_id") * CONTEXT_FACTOR + F.col("pos")
+    return ex.select(F.col("term_id").alias("correction"), "error_type", context_id.alias("context_id"),
+                     (context_id * spec.copies + F.col("copy") - 1).alias("example_id"),
+                     F.col("term").alias("correct_token"), "corrupt_token", "doc_id", "pos", "copy", "n_token_errors")
 
 
 # D3 ------------------------------------------------------------------------
@@ -112,6 +124,35 @@ def group_split(df: DataFrame, by: Sequence[str], train: float = 0.8, valid: flo
     return df.withColumn(out, F.when(u < t_cut, "train").when(u < v_cut, "valid").otherwise("test"))
 
 
+def exact_group_split(df: DataFrame, by: Sequence[str], train: float = 0.8, valid: float = 0.5,
+                      seed: int = 17, out: str = "split") -> DataFrame:
+    """``group_split`` to exact quotas: whole groups, in the order of their key's hash, fill
+    train while the rows so far stay within its quota, then valid (a share of the rest),
+    then test.
+
+    Running sums over the groups are two-level: row counts per hash bucket, running totals
+    of the (at most 2^14) buckets, and running sums inside a bucket, so no window spans all
+    groups.  Counts are partial before the shuffle; the rows get their split by one join.
+    """
+    by = list(by)
+    groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    groups = groups.withColumn("_h", rng.u32(seed, "split", *[F.col(c) for c in by])) \
+        .withColumn("_b", scale.hash_bucket(F.col("_h"), 14))
+    buckets = groups.groupBy("_b").agg(F.sum("_n").alias("_rows"))
+    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = buckets.select("_b", (F.sum("_rows").over(upto) - F.col("_rows")).alias("_off"),
+                             F.sum("_rows").over(whole).alias("_all"))
+    inside = Window.partitionBy("_b").orderBy("_h", *by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.col("_off") + F.sum("_n").over(inside)
+    shares = [int(round(x * 1000)) for x in (train, train + (1 - train) * valid)]
+    cuts = [F.floor(F.col("_all") * x / 1000) for x in shares]
+    placed = groups.join(F.broadcast(offsets), "_b").withColumn("_end", end) \
+        .select(*by, F.when(F.col("_end") <= cuts[0], "train").when(F.col("_end") <= cuts[1], "valid")
+                .otherwise("test").alias(out))
+    return df.join(placed, by)
+
+
 # D4 ------------------------------------------------------------------------
 def leakage_check(df: DataFrame, by: str, split_col: str = "split") -> DataFrame:
     """``(split_a, split_b, n_shared)``: group keys present in two splits

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import rng
 from ..functions.text import BASE_CHARS, is_word, mark, token_array
@@ -118,66 +123,41 @@ def literal_map(pairs, value_type: str = "int"):
     return F.from_json(F.lit(json.dumps(dict(pairs))), f"map<string,{value_type}>")
 
 
-def char_map(chars: DataFrame, limit: int = 100_000):
-    """Literal ``map<string,int>`` expression of a checked-small char table."""
-    rows = chars.select("ch", "char_id").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return literal_map((r[0], int(r[1])) for r in rows)
+def char_codes(chars: DataFrame) -> np.ndarray:
+    """Code point -> character id (unknown ones: the id of the space).  The table has a row
+    per code point at most, whatever the data."""
+    ids = {ord(r["ch"]): r["char_id"] for r in chars.filter(F.length("ch") == 1).select("ch", "char_id").collect()}
+    table = np.full(0x110000, ids[ord(" ")], np.int32)
+    table[list(ids)] = list(ids.values())
+    return table
 
 
-def char_encoder(chars: DataFrame, limit: int = 100_000):
-    """``f(column, width) -> array<int>`` for a checked-small character table.
+def encode_columns(df: DataFrame, chars: DataFrame, what: dict[str, tuple[str, int]]) -> DataFrame:
+    """``df`` with a fixed-width ``array<int>`` of character ids for each ``out: (column,
+    width)``; unknown characters and the padding take the id of the space, null strings
+    count as empty.  One Arrow step: all characters of a batch are looked up at once."""
+    table = df.sparkSession.sparkContext.broadcast(char_codes(chars))  # 4 MB
+    pads = {out: f"_pad_{i}" for i, out in enumerate(what)}
+    schema = StructType(df.schema.fields + [StructField(out, ArrayType(IntegerType())) for out in what])
+    widths = [w for _, w in what.values()]
 
-    Code points below 128 are looked up by position in one folded array
-    literal (O(1)); other characters go through a literal map (a linear scan,
-    used only for the few non-ASCII entries).  Unknown characters and the
-    padding take the id of the space character.
-    """
-    import json
+    def step(batches):
+        for b in batches:
+            kept, texts = b.columns[:-len(widths)], b.columns[-len(widths):]
+            codes = []
+            for col, width in zip(texts, widths):
+                points = np.frombuffer("".join(col.to_pylist()).encode("utf-32-le"), "<u4")
+                ends = np.arange(0, (b.num_rows + 1) * width, width, dtype=np.int32)[:b.num_rows + 1]
+                codes.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(table.value[points])))
+            yield pa.RecordBatch.from_arrays([*kept, *codes], schema.names)
 
-    rows = chars.select("ch", "char_id").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    ids = {r[0]: int(r[1]) for r in rows}
-    space = ids[" "]
-    table = [ids.get(chr(i), space) for i in range(128)]
-    arr = F.from_json(F.lit(json.dumps(table)), "array<int>")
-    wide = {k: v for k, v in ids.items() if len(k) != 1 or ord(k) >= 128}
-    wide_map = literal_map(wide) if wide else None
-
-    def one(ch):
-        cp = F.ascii(ch)
-        other = F.coalesce(F.element_at(wide_map, ch), F.lit(space)) if wide_map is not None else F.lit(space)
-        return F.when(cp < 128, F.element_at(arr, cp + 1)).otherwise(other)
-
-    def encode(c, width: int):
-        return F.transform(F.split(F.rpad(c, width, " "), ""), one)
-
-    return encode
+    padded = df.select("*", *[F.rpad(F.coalesce(F.col(c), F.lit("")), w, " ").alias(pads[out]) for out, (c, w) in what.items()])
+    return padded.mapInArrow(step, schema)
 
 
 def encode_chars(df: DataFrame, col: str, out: str, width: int, chars: DataFrame) -> DataFrame:
-    """String -> fixed-width ``array<int>`` of character ids.
-
-    Unknown characters and padding take the id of the space character.  The
-    character table is turned into a literal map when it is small (the usual
-    case: it is bounded by the alphabet); otherwise the characters are exploded
-    and joined, grouped back by the row key.
-    """
-    enc = char_encoder(chars)
-    padded = F.rpad(F.col(col), width, " ")
-    if enc is not None:
-        return df.withColumn(out, enc(F.col(col), width))
-    with_id = df.withColumn("_rid", F.monotonically_increasing_id())
-    exploded = with_id.select("_rid", F.posexplode(F.split(padded, "")).alias("_i", "ch"))
-    space_id = chars.filter(F.col("ch") == " ").select(F.lit(1).alias("_k"), F.col("char_id").alias("_sp"))
-    coded = (exploded.join(chars, "ch", "left").withColumn("_k", F.lit(1)).join(F.broadcast(space_id), "_k")
-             .groupBy("_rid")
-             .agg(F.sort_array(F.collect_list(F.struct("_i", F.coalesce("char_id", "_sp").alias("c"))))
-                  .alias("_codes")))
-    return (with_id.join(coded, "_rid").withColumn(out, F.col("_codes.c"))
-            .drop("_rid", "_codes"))
+    """String -> fixed-width ``array<int>`` of character ids."""
+    return encode_columns(df, chars, {out: (col, width)})
 
 
 # T11 -----------------------------------------------------------------------
@@ -222,6 +202,15 @@ def unknown_count(sent, length):
     return F.size(F.filter(F.slice(sent, 1, length), lambda x: x == 0))
 
 
+def unknown_tokens(tokens: DataFrame, vocab: DataFrame, max_features: int | None = None,
+                   id_col: str = "doc_id") -> DataFrame:
+    """``(doc_id, n_unknown)``: tokens outside the vocabulary, for documents with any token.
+    The vocabulary is joined (broadcast behind its bound); counts are partial first."""
+    v = sizing.broadcast_if_small(vocab.select(F.col("term").alias("_t"), F.lit(0).alias("_known")), bound=max_features)
+    return tokens.join(v, F.col("token") == F.col("_t"), "left") \
+        .groupBy(id_col).agg(F.sum(F.coalesce("_known", F.lit(1))).cast("int").alias("n_unknown"))
+
+
 # T14 -----------------------------------------------------------------------
 def novel_words(candidates: DataFrame, vocab: DataFrame, min_len: int = 5, max_len: int = 10,
                 k: int | None = None, col: str = "term") -> DataFrame:
@@ -236,50 +225,67 @@ def novel_words(candidates: DataFrame, vocab: DataFrame, min_len: int = 5, max_l
 
 # T15 -----------------------------------------------------------------------
 def ngram_counts(words_df: DataFrame, order: int, col: str = "term") -> DataFrame:
-    """Character n-gram counts of marked words: ``(ngram, n)`` for n = order.
+    """Character n-gram counts of marked words: ``(ngram, n)`` for n = order."""
+    return all_ngram_counts(words_df, (order,), col).select("ngram", "n")
+
 
-    Words are marked ``^word$`` so that starts and ends are modelled.
+def all_ngram_counts(words_df: DataFrame, orders=(1, 2, 3), col: str = "term") -> DataFrame:
+    """``(gram_order, ngram, n)`` for several orders in one pass.
+
+    Words are marked ``^word$`` so that starts and ends are modelled; each distinct word
+    is cut once and counts with its frequency.
     """
-    m = mark(F.col(col))
-    grams = F.transform(F.sequence(F.lit(1), F.length(m) - order + 1),
-                        lambda i: F.substring(m, i, order))
-    return (words_df.select(F.explode(grams).alias("ngram"))
-            .groupBy("ngram").agg(F.count(F.lit(1)).alias("n")))
-
-
-def sample_words(words_df: DataFrame, n_words: int, seed: int = 17, max_len: int = 12,
-                 col: str = "term") -> DataFrame:
-    """Generate words from a bigram character model fitted on ``words_df``.
-
-    The model (next-character counts after each character) is aggregated by
-    Spark, turned into cumulative distributions per context character, and
-    sampled with keyed hash draws.  Word k is generated by a chain of joins,
-    one per character position, so no model is collected to the driver and
-    every draw is reproducible.
+    m = F.col("_m")
+
+    def grams(o: int):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(m) - o + 1, F.lit(1)))
+        cut = F.transform(starts, lambda i: F.struct(F.lit(o).alias("gram_order"), F.substring(m, i, o).alias("ngram")))
+        return F.filter(cut, lambda g: F.length(g["ngram"]) == o)
+
+    return words_df.groupBy(mark(F.col(col)).alias("_m")).agg(F.count(F.lit(1)).alias("_n")) \
+        .select("_n", F.explode(F.concat(*[grams(o) for o in orders])).alias("g")) \
+        .groupBy("g.gram_order", "g.ngram").agg(F.sum("_n").alias("n"))
+
+
+def sampler(counts: DataFrame, least: int = 1) -> dict[str, tuple[np.ndarray, list[str]]]:
+    """The generator's table from ``all_ngram_counts``: for each context of up to two
+    characters that was seen ``least`` times or more, the running sums of its successors'
+    counts and the successors, in code-point order.
+
+    A context holds at most the alphabet, and there are at most (alphabet + 1) squared
+    contexts: a property of the script, not of the amount of text.
     """
-    spark = words_df.sparkSession
-    m = mark(F.col(col))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(m) - 1),
-                        lambda i: F.struct(F.substring(m, i, 1).alias("prev"),
-                                           F.substring(m, i + 1, 1).alias("nxt")))
-    counts = (words_df.select(F.explode(pairs).alias("p"))
-              .groupBy("p.prev", "p.nxt").agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy("prev").orderBy("nxt")
-    cdf = (counts.withColumn("hi", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-           .withColumn("lo", F.col("hi") - F.col("n"))
-           .withColumn("tot", F.sum("n").over(Window.partitionBy("prev"))))
-    gen = spark.range(n_words).select(F.col("id").alias("word_id"),
-                                      F.lit("^").alias("prev"), F.lit("").alias("word"),
-                                      F.lit(False).alias("done"))
-    for step in range(max_len + 1):
-        drawn = gen.join(cdf, "prev", "left")
-        u = rng.pick(F.col("tot"), seed, "ngram", F.col("word_id"), F.lit(step))
-        drawn = drawn.filter(F.col("done") | F.col("tot").isNull() |
-                             ((u >= F.col("lo")) & (u < F.col("hi"))))
-        finished = F.col("done") | F.col("tot").isNull() | (F.col("nxt") == "$")
-        gen = drawn.select(
-            "word_id",
-            F.when(finished, F.col("prev")).otherwise(F.col("nxt")).alias("prev"),
-            F.when(finished, F.col("word")).otherwise(F.concat("word", "nxt")).alias("word"),
-            finished.alias("done")).dropDuplicates(["word_id"])
-    return gen.select("word_id", "word")
+    rows = counts.select(F.expr("substring(ngram, 1, gram_order - 1)").alias("context"),
+                         F.expr("substring(ngram, gram_order, 1)").alias("ch"), "n").filter(F.col("ch") != "^")
+    held = rows.groupBy("context").agg(F.sort_array(F.collect_list(F.struct("ch", "n"))).alias("next"),
+                                       F.sum("n").alias("total")).filter(F.col("total") >= least)
+    return {r["context"]: (np.cumsum([x["n"] for x in r["next"]]), [x["ch"] for x in r["next"]]) for r in held.collect()}
+
+
+def draw_word(key: str, table: dict, seed: int, max_len: int) -> str:
+    """A word drawn from the sampler: each character after the longest known context (two
+    characters, one, none), by the hash of key and step; it ends at ``$`` or ``max_len``."""
+    word = "^"
+    for step in range(max_len):
+        ends, successors = next(table[c] for c in (word[-2:], word[-1:], "") if c in table)
+        u = int(hashlib.md5(f"{seed}|ngram|{key}|{step}".encode()).hexdigest()[:8], 16) % int(ends[-1])
+        ch = successors[int(np.searchsorted(ends, u, "right"))]
+        if ch == "$":
+            break
+        word += ch
+    return word[1:]
+
+
+def generate_words(keys: DataFrame, counts: DataFrame, seed: int = 17, max_len: int = 12, least: int = 1,
+                   key_col: str = "term", out: str = "word") -> DataFrame:
+    """A word for each key, drawn from the model ``counts`` (``all_ngram_counts``): rows of
+    ``keys`` are independent, the sampler goes to the tasks as one bounded table."""
+    shared = keys.sparkSession.sparkContext.broadcast(sampler(counts, least))
+    schema = StructType([keys.schema[key_col], StructField(out, StringType())])
+
+    def step(batches):
+        for b in batches:
+            words = [draw_word(str(k), shared.value, seed, max_len) if shared.value else "" for k in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.string())], [key_col, out])
+
+    return keys.select(key_col).mapInArrow(step, schema)

@@ -202,17 +202,29 @@ def a7(fx):
                     r6(F.col("recall")).alias("recall"), r6(F.col("fscore")).alias("fscore"), "support")
 
 
-@register("A8_metric_rank_corr", with_fixtures("""
-    SELECT x.annotator_id AS a, y.annotator_id AS b, round(corr(x.r, y.r), 6) AS rho, count(*) AS n FROM
-      (SELECT annotator_id, class_id, rank() OVER (PARTITION BY annotator_id ORDER BY fscore)
-              + (count(*) OVER (PARTITION BY annotator_id, fscore) - 1) / 2.0 AS r FROM a7) x
-    JOIN (SELECT annotator_id, class_id, rank() OVER (PARTITION BY annotator_id ORDER BY fscore)
-              + (count(*) OVER (PARTITION BY annotator_id, fscore) - 1) / 2.0 AS r FROM a7) y
-      ON x.class_id = y.class_id AND x.annotator_id < y.annotator_id
-    GROUP BY 1, 2""", "a7"))
+# Student's t with nu degrees of freedom as the finite series in theta = atan(t / sqrt(nu)),
+# with c = cos(theta) squared = 1 - rho squared.
+_SERIES = """CASE WHEN nu % 2 = 0 THEN
+      1 - sqrt(1 - c) * (1 + coalesce(list_sum(list_transform(range(1, nu // 2), lambda k:
+          list_product(list_transform(range(1, k + 1), lambda i: (2 * i - 1) / (2 * i))) * pow(c, k))), 0))
+    ELSE 1 - 2 / pi() * (asin(sqrt(1 - c)) + CASE WHEN nu = 1 THEN 0 ELSE sqrt(1 - c) * sqrt(c) *
+      (1 + coalesce(list_sum(list_transform(range(1, (nu - 1) // 2), lambda k:
+          list_product(list_transform(range(1, k + 1), lambda i: (2 * i) / (2 * i + 1))) * pow(c, k))), 0)) END) END"""
+
+
+@register("A8_metric_rank_corr", with_fixtures(f"""
+    SELECT a, b, round(rho, 6) AS rho, n, CASE WHEN nu > 0 THEN CASE WHEN c <= 1e-15 THEN 0.0 ELSE round({_SERIES}, 6) END END AS p
+    FROM (SELECT *, n - 2 AS nu, 1 - least(rho * rho, 1.0) AS c FROM (
+      SELECT x.annotator_id AS a, y.annotator_id AS b, corr(x.r, y.r) AS rho, count(*) AS n FROM
+        (SELECT annotator_id, class_id, rank() OVER (PARTITION BY annotator_id ORDER BY fscore)
+                + (count(*) OVER (PARTITION BY annotator_id, fscore) - 1) / 2.0 AS r FROM a7) x
+      JOIN (SELECT annotator_id, class_id, rank() OVER (PARTITION BY annotator_id ORDER BY fscore)
+                + (count(*) OVER (PARTITION BY annotator_id, fscore) - 1) / 2.0 AS r FROM a7) y
+        ON x.class_id = y.class_id AND x.annotator_id <> y.annotator_id
+      GROUP BY 1, 2))""", "a7"))
 def a8(fx):
     out = A.metric_rank_corr(_a7(fx), "fscore")
-    return out.select("a", "b", r6(F.col("rho")).alias("rho"), "n")
+    return out.select("a", "b", r6(F.col("rho")).alias("rho"), "n", r6(F.col("p")).alias("p"))
 
 
 @register("A9_confidence_by_prob_bin", with_fixtures(f"""
@@ -225,13 +237,37 @@ def a9(fx):
     return out.select("annotator_id", F.col("bin").cast("double"), "confidence", "n", r6(F.col("share")).alias("share"))
 
 
-@register("A10_disagreements", with_fixtures("""
-    SELECT a.sent_id, a.label AS label_ab, c.label AS label_c FROM all_j a
-    JOIN all_j b ON b.sent_id = a.sent_id AND b.annotator_id = 2
-    JOIN all_j c ON c.sent_id = a.sent_id AND c.annotator_id = 6
-    WHERE a.annotator_id = 1 AND a.label = b.label AND a.label <> c.label""", "all_j"))
+TRIPLES = ((1, 2, 6), (1, 2, 3), (2, 3, 6), (1, 4, 6))
+
+
+@register("A10_disagreements", with_fixtures(" UNION ALL ".join(f"""
+    SELECT '{a}={b}<>{c}' AS judges, a.sent_id, a.label AS label_ab, c.label AS label_c,
+           d.lang IS DISTINCT FROM a.label AS modified, d.text AS sentence FROM all_j a
+    JOIN all_j b ON b.sent_id = a.sent_id AND b.annotator_id = {b}
+    JOIN all_j c ON c.sent_id = a.sent_id AND c.annotator_id = {c}
+    LEFT JOIN documents d ON d.doc_id = a.sent_id
+    WHERE a.annotator_id = {a} AND a.label = b.label AND a.label <> c.label""" for a, b, c in TRIPLES), "all_j"))
 def a10(fx):
-    return A.disagreements(all_j(fx), 1, 2, 6)
+    """Disagreements of several triples of judges, with the text and whether the agreed
+    label differs from the one that the corpus gives."""
+    docs = fx.t("documents").withColumnRenamed("doc_id", "sent_id")
+    told = A.sentences(docs, text_col="text").withColumnRenamed("text", "sentence")
+    out = None
+    for a, b, c in TRIPLES:
+        part = A.disagreements(all_j(fx), a, b, c, sentences=told, written=docs.select("sent_id", F.col("lang").alias("label"))) \
+            .withColumn("judges", F.lit(f"{a}={b}<>{c}"))
+        out = part if out is None else out.unionByName(part)
+    return out.select("judges", "sent_id", "label_ab", "label_c", "modified", "sentence")
+
+
+@register("A4_sentences", with_fixtures("""
+    SELECT doc_id AS sent_id, min(text) AS sentence FROM documents
+    WHERE doc_id IN (SELECT sent_id FROM all_j) GROUP BY doc_id""", "all_j"))
+def a4_sentences(fx):
+    """The judged texts, each once however many judges saw it."""
+    docs = fx.t("documents").select(F.col("doc_id").alias("sent_id"), F.col("text").alias("sentence"))
+    files = [docs.join(all_j(fx).filter(F.col("annotator_id") == i).select("sent_id"), "sent_id", "left_semi") for i in ALL]
+    return A.sentences(*files)
 
 
 _SUMMARY = (("annotator1-truth", 1, CORPUS), ("model-truth", MODEL, CORPUS), ("model-annotator1", MODEL, 1))

@@ -28,6 +28,7 @@ FAMILIES = (
     "sequence_queries",
     "stream_queries",
     "io_model_queries",
+    "source_queries",
 )
 
 

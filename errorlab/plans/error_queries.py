@@ -11,6 +11,7 @@ from ..functions.text import (OPERATORS, any_step_sql, draw_sql, effective_count
 from ..operators import corrupt as C
 from ..operators import examples as D
 from ..operators import nearest as N
+from ..operators import noise
 from ..operators import text as T
 from . import text_queries  # noqa: F401  (registers the char_vocab fixture)
 from .catalog import register
@@ -47,11 +48,16 @@ def nearest_words(fx):
 def examples(fx, encode=False):
     def build():
         chars = T.char_vocab(fx.words()) if encode else None
-        return D.build_examples(fx.t("documents"), fx.vocab(), nearest_words(fx), chars, SPEC,
+        return D.build_examples(fx.docs(), fx.vocab(), nearest_words(fx), chars, SPEC,
                                 P.max_features, encode=encode)
     return fx._get(f"examples{encode}", build)
 
 
+def spellings(fx):
+    """The examples' keys and spellings alone."""
+    return fx._get("spellings", lambda: D.corrupted_occurrences(fx.tokens(), fx.vocab(), SPEC, P.max_features))
+
+
 def positions15(fx):
     return T.positions(fx.tokens(), short_vocab(fx), P.max_features)
 
@@ -149,6 +155,16 @@ register_fixture_sql("examples", ("tokens", "svocab", "nearest"), f"""
            lead_c, trail_c, rpad(lead_c || '{SPEC.leading_separator}' || corrupt_token || '{SPEC.trailing_separator}' || trail_c,
                                  {SPEC.window_width}, ' ') AS full_window, doc_id, pos, copy, n_token_errors, n_context_errors
     FROM ({_EX})""")
+_SLIM = corrupt_sql(f"""
+    SELECT c.doc_id, c.pos, c.term, c.term_id, cp.copy,
+           {_ops_sql()}[{_pick_sql(4, 'op', 'c.doc_id', 'c.pos', 'cp.copy')}] AS error_type,
+           {list(SPEC.n_token_errors)}[{_pick_sql(len(SPEC.n_token_errors), 'n_token', 'c.doc_id', 'c.pos', 'cp.copy')}] AS n_token_errors
+    FROM positions15 c CROSS JOIN (SELECT CAST(unnest(range(1, {SPEC.copies + 1})) AS INT) AS copy) cp""",
+    "term", "corrupt_token", "error_type", "n_token_errors", max(SPEC.n_token_errors), "token", _KEYS3)
+register_fixture_sql("spellings", ("positions15",), f"""
+    SELECT term_id AS correction, error_type, doc_id * {D.CONTEXT_FACTOR} + pos AS context_id,
+           (doc_id * {D.CONTEXT_FACTOR} + pos) * {SPEC.copies} + copy - 1 AS example_id,
+           term AS correct_token, corrupt_token, doc_id, pos, copy FROM ({_SLIM})""")
 register_fixture_sql("char_map", ("char_vocab",), "SELECT map(list(ch), list(char_id)) AS m FROM char_vocab")
 
 
@@ -261,7 +277,7 @@ def n3(fx):
     "SELECT doc_id, pos, copy, CAST(levenshtein(correct_token, corrupt_token) AS INT) AS distance FROM examples",
     "examples"))
 def n4(fx):
-    return N.edit_distance(examples(fx), "correct_token", "corrupt_token").select("doc_id", "pos", "copy", "distance")
+    return N.edit_distance(spellings(fx), "correct_token", "corrupt_token").select("doc_id", "pos", "copy", "distance")
 
 
 register_fixture_sql("n5_cands", ("examples", "dict"), f"""
@@ -283,7 +299,7 @@ register_fixture_sql("n5_cands", ("examples", "dict"), f"""
         SELECT *, row_number() OVER (PARTITION BY term ORDER BY distance, freq DESC, cand) AS k FROM n5_cands)
       WHERE k = 1) b ON b.term = x.corrupt_token""", "examples", "n5_cands"))
 def n5(fx):
-    errs = examples(fx).select("doc_id", "pos", "copy", "corrupt_token")
+    errs = spellings(fx).select("doc_id", "pos", "copy", "corrupt_token")
     out = N.noisy_channel_correct(errs, dictionary(fx), ["doc_id", "pos", "copy"],
                                   max_term_len=P.max_token_length + 2)
     return out.select("doc_id", "pos", "copy", "corrupt_token", "correction", "correction_distance")
@@ -333,7 +349,7 @@ register_fixture_sql("splits", ("examples",), f"SELECT example_id, context_id, {
 
 
 def splits(fx):
-    return D.group_split(examples(fx).select("example_id", "context_id", "correct_token", "corrupt_token"),
+    return D.group_split(spellings(fx).select("example_id", "context_id", "correct_token", "corrupt_token"),
                          ["context_id"], TRAIN, VALID, P.seed)
 
 
@@ -360,17 +376,33 @@ def d4(fx):
     FROM (SELECT example_id, row_number() OVER (ORDER BY example_id) - 1 AS idx, count(*) OVER () AS n
           FROM examples)""", "examples"))
 def d5(fx):
-    return D.range_split(examples(fx).select("example_id"), "example_id", 0.8, 0.1)
+    return D.range_split(spellings(fx).select("example_id"), "example_id", 0.8, 0.1)
 
 
 @register("D6_binary_real_word", with_fixtures("""
     SELECT e.example_id, CASE WHEN d.term IS NULL THEN 0 ELSE 1 END AS is_real_word
-    FROM examples e LEFT JOIN dict d ON d.term = e.corrupt_token""", "examples", "dict"))
+    FROM spellings e LEFT JOIN dict d ON d.term = e.corrupt_token""", "spellings", "dict"))
 def d6(fx):
-    ex = examples(fx).select("example_id", "corrupt_token")
+    ex = spellings(fx).select("example_id", "corrupt_token")
     return D.binary_real_word(ex, "corrupt_token", dictionary(fx)).select("example_id", "is_real_word")
 
 
+_EXACT = [int(round(x * 1000)) for x in (TRAIN, TRAIN + (1 - TRAIN) * VALID)]
+
+
+@register("D3_group_split_exact", with_fixtures(f"""
+    SELECT * FROM (
+    WITH g AS (SELECT context_id, count(*) AS n, {u32_sql('duck', P.seed, 'split', 'context_id')} AS h
+               FROM spellings GROUP BY context_id),
+         c AS (SELECT context_id, sum(n) OVER (ORDER BY h, context_id) AS upto, sum(n) OVER () AS total FROM g)
+    SELECT s.example_id, CASE WHEN c.upto <= c.total * {_EXACT[0]} // 1000 THEN 'train'
+                              WHEN c.upto <= c.total * {_EXACT[1]} // 1000 THEN 'valid' ELSE 'test' END AS split
+    FROM spellings s JOIN c USING (context_id))""", "spellings"))
+def d3_exact(fx):
+    ex = spellings(fx).select("example_id", "context_id")
+    return D.exact_group_split(ex, ["context_id"], TRAIN, VALID, P.seed).select("example_id", "split")
+
+
 # C11 -----------------------------------------------------------------------
 
 @register("C11_learned_corruption", with_fixtures("""
@@ -387,3 +419,13 @@ def c11(fx):
     pairs = cands(fx).filter(F.col("distance") == 1).select(F.col("term").alias("correct"), F.col("cand").alias("error"))
     out = C.learned_corruption(pairs)
     return out.select("op", "from_ch", "to_ch", "n", F.round("p", 6).alias("p"))
+
+
+@register("C11_apply_learned")
+def c11_apply(fx):
+    """Every occurrence of a vocabulary term with a misspelling drawn from the operations
+    estimated on the corpus' word pairs, and its weighted edit distance."""
+    pairs = cands(fx).filter(F.col("distance") > 0).select(F.col("term").alias("correct"), F.col("cand").alias("error"))
+    out = noise.corrupt(positions15(fx).select("doc_id", "pos", "term"), noise.estimate(pairs), ["doc_id", "pos"], "term",
+                        seed=P.seed)
+    return out.select("doc_id", "pos", "term", "corrupted", F.round("cost", 6).alias("cost"))

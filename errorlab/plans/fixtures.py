@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import rng
 from ..functions.text import TOKEN_RX, WORD_RX, token_array
 from ..operators import text as T
-from ..session import table
+from ..session import spread, table
 
 
 @dataclass(frozen=True)
@@ -61,8 +61,12 @@ class Fx:
             self._memo[key] = fn()
         return self._memo[key]
 
+    def docs(self) -> DataFrame:
+        """``(doc_id, text)`` of all documents, over all cores."""
+        return self._get("docs", lambda: spread(self.t("documents").select("doc_id", "text")))
+
     def tokens(self) -> DataFrame:
-        return self._get("tokens", lambda: T.tokenize(self.t("documents").select("doc_id", "text")))
+        return self._get("tokens", lambda: T.tokenize(self.docs()))
 
     def words(self) -> DataFrame:
         return self._get("words", lambda: T.words(self.tokens()))

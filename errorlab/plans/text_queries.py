@@ -10,6 +10,9 @@ from ..operators import text as T
 from .catalog import register
 from .fixtures import P, register_fixture_sql, sql_lit, with_fixtures
 
+MAX_WORD = 12      # T15: characters of a generated word at most
+LEAST_SEEN = 20    # T15: a context of the model was seen so often, else the shorter one counts
+
 
 def _sql_str_list(chars: str) -> str:
     return "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in chars) + "]"
@@ -100,11 +103,9 @@ def t11(fx):
     FROM (SELECT unnest(string_split('^' || term || '$', '')) AS ch FROM vocab) x
     JOIN char_vocab c ON x.ch = c.ch GROUP BY x.ch""", "vocab", "char_vocab"))
 def t12(fx):
-    chars = T.char_vocab(fx.words())
-    m = T.char_map(chars)
     marked = fx.vocab().select(mark(F.col("term")).alias("marked"))
-    coded = marked.withColumn("codes", F.transform(F.split("marked", ""), lambda c: F.element_at(m, c)))
-    coded = coded.withColumn("codes", F.concat("codes", F.array_repeat(F.lit(0), 20 - F.size("codes"))))
+    longest = marked.agg(F.max(F.length("marked"))).first()[0] or 1
+    coded = T.encode_chars(marked, "marked", "codes", longest, T.char_vocab(fx.words()))
     return T.recover_char_index(coded, "marked", "codes")
 
 
@@ -115,10 +116,8 @@ def t12(fx):
       WHERE v.term IS NULL GROUP BY t.doc_id) u ON d.doc_id = u.doc_id""",
     "tokens", "vocab"))
 def t13(fx):
-    ids = T.id_map(fx.vocab(), P.max_features)
-    docs = fx.t("documents").select("doc_id", token_array(F.col("text")).alias("toks"))
-    sent = F.transform("toks", lambda t: F.coalesce(F.element_at(ids, t) + 1, F.lit(0)))
-    return docs.select("doc_id", T.unknown_count(sent, F.size("toks")).cast("int").alias("n_unknown"))
+    counts = T.unknown_tokens(fx.tokens(), fx.vocab(), P.max_features)
+    return fx.t("documents").select("doc_id").join(counts, "doc_id", "left").fillna(0, ["n_unknown"])
 
 
 @register("T14_novel_words", with_fixtures("""
@@ -137,9 +136,58 @@ def t14(fx):
         SELECT '^' || token || '$' AS m FROM words) w, (SELECT unnest([1, 2, 3]) AS o) r) g
     GROUP BY o, substr(m, i, o)""", "words"))
 def t15(fx):
-    w = fx.words().select(F.col("token").alias("term"))
-    parts = [T.ngram_counts(w, o).select(F.lit(o).alias("gram_order"), "ngram", "n") for o in (1, 2, 3)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return ngrams(fx)
+
+
+def ngrams(fx):
+    return fx._get("ngrams", lambda: T.all_ngram_counts(fx.words().select(F.col("token").alias("term"))))
+
+
+register_fixture_sql("ngrams", ("words",), """
+    SELECT o AS gram_order, substr(m, i, o) AS ngram, count(*) AS n FROM (
+      SELECT m, o, unnest(range(1, length(m) - o + 2)) AS i FROM (
+        SELECT '^' || token || '$' AS m FROM words) w, (SELECT unnest([1, 2, 3]) AS o) r) g
+    GROUP BY o, substr(m, i, o)""")
+register_fixture_sql("sampler", ("ngrams",), f"""
+    SELECT context, ch, n, total, sum(n) OVER (PARTITION BY context ORDER BY ch) AS upto FROM (
+      SELECT substr(ngram, 1, gram_order - 1) AS context, substr(ngram, gram_order, 1) AS ch, n,
+             sum(n) OVER (PARTITION BY substr(ngram, 1, gram_order - 1)) AS total
+      FROM ngrams WHERE substr(ngram, gram_order, 1) <> '^') WHERE total >= {LEAST_SEEN}""")
+register_fixture_sql("kept", ("freq",), f"SELECT term, freq FROM freq WHERE freq >= {P.min_freq + 2}")
+# A word grows by a character a step, after the longest context that the model knows.
+register_fixture_sql("generated", ("sampler", "kept"), f"""
+    WITH RECURSIVE contexts AS MATERIALIZED (SELECT DISTINCT context, total FROM sampler),
+    steps AS MATERIALIZED (SELECT * FROM sampler),
+    grown(term, word, step, done) AS (
+      SELECT term, '^', 0, false FROM kept
+      UNION ALL
+      SELECT g.term, CASE WHEN s.ch = '$' THEN g.word ELSE g.word || s.ch END, g.step + 1,
+             s.ch = '$' OR g.step + 1 = {MAX_WORD}
+      FROM (SELECT x.*, coalesce(c2.context, c1.context, '') AS context,
+                   coalesce(c2.total, c1.total, (SELECT total FROM contexts WHERE context = '')) AS total
+            FROM grown x LEFT JOIN contexts c2 ON c2.context = right(x.word, 2)
+                         LEFT JOIN contexts c1 ON c1.context = right(x.word, 1)
+            WHERE NOT x.done) g
+      JOIN steps s ON s.context = g.context
+       AND {u32_sql('duck', P.seed, 'ngram', 'g.term', 'g.step')} % CAST(g.total AS BIGINT) >= s.upto - s.n
+       AND {u32_sql('duck', P.seed, 'ngram', 'g.term', 'g.step')} % CAST(g.total AS BIGINT) < s.upto)
+    SELECT term, substr(word, 2) AS word FROM grown WHERE done""")
+
+
+def generated(fx):
+    keys = T.prune_rare(T.term_freq(fx.words()), P.min_freq)
+    return T.generate_words(keys, ngrams(fx), P.seed, MAX_WORD, LEAST_SEEN)
+
+
+@register("T15_generate_words", with_fixtures("SELECT term, word FROM generated", "generated"))
+def t15_words(fx):
+    """A word drawn from the n-gram model for every word of the corpus that is not rare."""
+    return generated(fx)
+
+
+@register("T14_novel_generated", with_fixtures("""
+    SELECT DISTINCT word AS term FROM generated WHERE length(word) BETWEEN 5 AND 10
+      AND word NOT IN (SELECT term FROM vocab) ORDER BY term LIMIT 100""", "generated", "vocab"))
+def t14_generated(fx):
+    """The first 100 generated words of 5 to 10 characters that the vocabulary lacks."""
+    return T.novel_words(generated(fx), fx.vocab(), 5, 10, 100, "word")

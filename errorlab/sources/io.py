@@ -6,14 +6,20 @@ schemas.  Writers partition by column so later reads prune partitions.
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import uuid
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators import text as T
+from ..functions.text import token_array
+from ..session import checkpoint_dir
 
 
 # S1 ------------------------------------------------------------------------
@@ -31,10 +37,11 @@ def corpus_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 # S2 ------------------------------------------------------------------------
 def bulk_tokenize(spark: SparkSession, path: str, out: str) -> None:
-    """Tokenise many text files; one output partition per input file."""
-    files = read_corpus(spark, path)
-    tok = T.tokenize(files.withColumnRenamed("path", "doc_id"), "doc_id", "text")
-    tok.withColumnRenamed("doc_id", "source_file").write.mode("overwrite").partitionBy("source_file").parquet(out)
+    """Tokenise many sentence files, a line at a time (no file is held whole); one output
+    partition per input file, a row per line with its tokens."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path) \
+        .select(F.col("_metadata.file_path").alias("source_file"), token_array(F.col("value")).alias("tokens"))
+    lines.write.mode("overwrite").partitionBy("source_file").parquet(out)
 
 
 def _int_array(df: DataFrame, c: str):
@@ -145,21 +152,75 @@ def load_targets(spark: SparkSession, path: str, target: str = "y") -> DataFrame
                      F.coalesce(F.element_at("weights", F.col("class_id").cast("string")), F.lit(1.0)).alias("weight"))
 
 
-# S11 / S12 -----------------------------------------------------------------
+# S11 -----------------------------------------------------------------------
 def save_scores(scores: DataFrame, path: str, partition_col: str = "split") -> None:
-    """Replace prob/pred of the scored partitions only (dynamic overwrite)."""
+    """Write predictions; only the partitions that ``scores`` holds are overwritten."""
     scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy(partition_col).parquet(path)
 
 
+def replace_scores(spark: SparkSession, path: str, scores: DataFrame, key: str, partition_col: str = "split") -> None:
+    """Replace ``prob`` and ``pred`` of the stored rows that ``scores`` (``key, prob, pred``)
+    names; their other columns, and all other rows, stay.
+
+    Partitions without such a row are not read past their keys and not written.  The
+    others are merged into a staging folder first and then swapped in by the dynamic
+    overwrite: a job that fails before leaves the stored files as they were.
+    """
+    stored = spark.read.parquet(path)
+    new = scores.select(key, F.col("prob").alias("_prob"), F.col("pred").alias("_pred"), F.lit(True).alias("_new"))
+    touched = [r[0] for r in stored.select(key, partition_col).join(new.select(key), key, "left_semi")
+               .select(partition_col).distinct().collect()]  # a value per folder
+    if not touched:
+        return
+    merged = stored.filter(F.col(partition_col).isin(touched)).join(new, key, "left")
+    for old, fresh in (("prob", "_prob"), ("pred", "_pred")):
+        merged = merged.withColumn(old, F.when(F.col("_new"), F.col(fresh)).otherwise(F.col(old)))
+    staging = os.path.join(checkpoint_dir(spark), "staging", uuid.uuid4().hex)
+    merged.select(*stored.columns).write.parquet(staging)
+    save_scores(spark.read.schema(stored.schema).parquet(staging), path, partition_col)
+
+
+# S12 -----------------------------------------------------------------------
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def score(model: PipelineModel, data: DataFrame) -> DataFrame:
+    """``data`` with ``prob`` (array) and ``pred``; the model's own columns are dropped."""
+    scored = model.transform(data)
+    return scored.withColumn("prob", vector_to_array("probability")).withColumn("pred", F.col("prediction").cast("int")) \
+        .select(*data.columns, "prob", "pred")
+
+
+def score_file(spark: SparkSession, model_path: str, data_path: str, out: str) -> DataFrame:
+    """Load a saved pipeline, score a whole Parquet table and save the predictions with
+    the configuration that made them (``out/predictions``, ``out/configuration``)."""
+    model = PipelineModel.load(model_path)
+    data = spark.read.parquet(data_path)
+    score(model, data).write.mode("overwrite").parquet(f"{out}/predictions")
+    stages = [(i, type(s).__name__, s.uid, json.dumps({p.name: str(v) for p, v in sorted(
+        s.extractParamMap().items(), key=lambda x: x[0].name)})) for i, s in enumerate(model.stages)]
+    spark.createDataFrame(stages, "stage int, kind string, uid string, parameters string") \
+        .withColumn("model", F.lit(model_path)).withColumn("data", F.lit(data_path)) \
+        .coalesce(1).write.mode("overwrite").json(f"{out}/configuration")
+    return spark.read.parquet(f"{out}/predictions")
+
+
 # S13 -----------------------------------------------------------------------
 # The columns of the judgement files.
 JUDGEMENT_SCHEMA = ("sent_id long, sentence string, correct_preposition string, confidence string, "
                     "sentence_quality string")
 
 
-def read_judgements(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", header=True, schema=JUDGEMENT_SCHEMA).orderBy("sent_id")
+def read_judgements(spark: SparkSession, path: str, header: bool = True, corrupt: str | None = None) -> DataFrame:
+    """Judgement files by ``sent_id``; with ``corrupt`` a column of that name keeps the
+    whole line where a line does not fit the columns (else such lines have nulls)."""
+    schema = JUDGEMENT_SCHEMA + (f", {corrupt} string" if corrupt else "")
+    reader = spark.read.option("sep", "\t").option("quote", "").option("header", header).option("mode", "PERMISSIVE")
+    if corrupt:
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+    return reader.schema(schema).csv(path).orderBy("sent_id")
 
 
 # S14 -----------------------------------------------------------------------
