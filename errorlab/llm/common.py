@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from errorlab.session import checkpoint_dir
@@ -106,3 +106,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, max
         .agg(F.max("text").alias("text"), F.max("y").alias("y")).collect()
     place = {d: i for i, d in enumerate(chosen)}
     return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: place[r["doc_id"]])]
+
+
+def row_id(key: Column, digest: Column) -> Column:
+    """What tells rows apart when documents are dropped: the key (``-`` if null) and a
+    digest of the text."""
+    return F.concat(F.coalesce(key.cast("long").cast("string"), F.lit("-")), F.lit("|"), digest.cast("string"))
+
+
+def keep_rows(docs: DataFrame, digest: Column, told: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay according to ``told(id,
+    stays)``, which has a row per row of ``docs`` with its ``row_id``.  Of rows that stay
+    under one id (repeated rows) one is kept.  Columns of any name pass through: the row
+    travels as one struct."""
+    rows = docs.select(F.struct("*").alias("row"), row_id(F.col("doc_id"), digest).alias("id"))
+    drop = told.where(~F.col("stays")).select("id").distinct()
+    repeated = told.where("stays").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    kept = rows.join(drop, "id", "left_anti")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, "id", "left_anti").unionByName(
+            kept.join(repeated, "id", "left_semi").dropDuplicates(["id"]))
+    return kept.select("row.*")

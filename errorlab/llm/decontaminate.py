@@ -13,9 +13,10 @@ The test items are a query set: they go to the tasks in blocks of at most
 ``block_shingles`` shingles, and every block is held against all documents, whole texts,
 in one pass without a shuffle.  More items mean more blocks, never a cap.
 
-Items or documents under five words have no five-word shingle and are never matched;
-neither are null texts or rows with a null item id.  Items with equal ids are one item
-each row.  Empty tables give no rows.
+An item of one to four words has a single shingle, of all its words; it is held against
+the documents' runs of as many words.  Items without words are never matched.  Items with
+equal or null ids are one item each row, and their ids are given as they are.  Null texts
+are empty.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import longs, pick, table, text_steps, utf8
-from .hashing import SHINGLE, WORD_RX, mix, shingles, words
+from .hashing import SHINGLE, WORD_RX, mix, shingles, word_grams, words
 
 THRESHOLD = 0.8
 MISS = 1e-4
@@ -60,20 +61,31 @@ class Block:
     keys: np.ndarray
     owner: np.ndarray
     filter: np.ndarray
+    #: Items of fewer than five words: length -> hash -> items.
+    short: dict[int, dict[int, list[int]]]
 
 
-def build_block(item_ids: list, sets: list[np.ndarray], threshold: float) -> Block:
-    keys, owner, hits = [], [], []
+def samples(s: np.ndarray) -> np.ndarray:
+    """The shingles with the smallest values of ``SAMPLES`` hash functions, each once."""
+    lots = np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return np.unique(np.array([s[np.argmin(mix(s + x))] for x in lots], np.uint64))
+
+
+def build_block(item_ids: list, sets: list[np.ndarray], lengths: list[int], threshold: float) -> Block:
+    keys, owner, hits = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+    short: dict[int, dict[int, list[int]]] = {}
     for i, s in enumerate(sets):
+        if lengths[i] < SHINGLE:
+            short.setdefault(lengths[i], {}).setdefault(int(s[0]), []).append(i)
+            hits.append(1)
+            continue
         size_class = 1 << (len(s) - 1).bit_length()  # items of a class share what follows
         if size_class <= SAMPLES:
             mine = s
             hits.append(math.ceil(len(s) * threshold - 1e-9))
         else:
-            mine = np.array([s[np.argmin(mix(s + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)))]
-                             for k in range(1, SAMPLES + 1)], np.uint64)
             # Draws that took the same shingle count once, so the least number is that of the distinct ones.
-            mine = np.unique(mine)
+            mine = samples(s)
             hits.append(least_hits(len(mine), threshold))
         keys.append(mine)
         owner.append(np.full(len(mine), i))
@@ -82,11 +94,26 @@ def build_block(item_ids: list, sets: list[np.ndarray], threshold: float) -> Blo
     keys, owner = keys[order], owner[order]
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    return Block(item_ids, sets, np.array(hits), keys, owner, bits)
+    return Block(item_ids, sets, np.array(hits), keys, owner, bits, short)
 
 
 def search(block: Block, arr: pa.Array, threshold: float):
     """Rows ``(text, item, shared)`` of the contained items."""
+    return _search_short(block, arr) + _search_long(block, arr, threshold)
+
+
+def _search_short(block: Block, arr: pa.Array) -> list[tuple[int, int, int]]:
+    found = set()
+    for n, items in block.short.items():
+        h, doc = word_grams(arr, n)
+        at = np.flatnonzero(np.isin(h, np.fromiter(items, np.uint64, len(items))))
+        found.update((d, i, 1) for x, d in zip(h[at].tolist(), doc[at].tolist()) for i in items[x])
+    return sorted(found)
+
+
+def _search_long(block: Block, arr: pa.Array, threshold: float) -> list[tuple[int, int, int]]:
+    if not len(block.keys):
+        return []
     h, offs = shingles(arr)
     near = np.flatnonzero(block.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
     lo, hi = (np.searchsorted(block.keys, h[near], side) for side in ("left", "right"))
@@ -113,22 +140,25 @@ def item_blocks(benchmark: DataFrame, threshold: float, block_shingles: int):
     """Blocks of the test items, brought to the driver one bounded block at a time."""
     ids: list = []
     sets: list[np.ndarray] = []
+    lengths: list[int] = []
     held = 0
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string")) \
-        .where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+        .where(F.col("text").isNotNull())
     for r in items.toLocalIterator():
         text = pa.array([r["text"]], pa.string())
-        if len(words(*utf8(pc.utf8_lower(text)))[0]) < SHINGLE:
+        length = len(words(*utf8(pc.utf8_lower(text)))[0])
+        if not length:
             continue
         h = np.unique(shingles(text)[0])
         if ids and held + len(h) > block_shingles:
-            yield build_block(ids, sets, threshold)
-            ids, sets, held = [], [], 0
+            yield build_block(ids, sets, lengths, threshold)
+            ids, sets, lengths, held = [], [], [], 0
         ids.append(r["item_id"])
         sets.append(h)
+        lengths.append(length)
         held += len(h)
     if ids:
-        yield build_block(ids, sets, threshold)
+        yield build_block(ids, sets, lengths, threshold)
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
@@ -153,7 +183,7 @@ def _searcher(block, threshold: float):
                 d, i, n = zip(*rows)
                 size = np.array([len(block.sets[x]) for x in i])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(longs(d)), longs([block.item_ids[x] for x in i]), longs(n),
+                    [b.column("doc_id").take(longs(d)), pa.array([block.item_ids[x] for x in i], pa.int64()), longs(n),
                      longs(size), pa.array(np.array(n) / size)],
                     ["doc_id", "item_id", "n_shared", "n_item", "containment"])
     return step
@@ -182,16 +212,19 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_RX}') AS w FROM documents),
-iw AS (SELECT item_id, regexp_extract_all(lower(text), '{WORD_RX}') AS w FROM benchmark WHERE item_id IS NOT NULL),
-si AS (SELECT DISTINCT item_id, array_to_string(w[i:i+{SHINGLE - 1}], ' ') AS s
-       FROM (SELECT item_id, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM iw WHERE len(w) >= {SHINGLE})),
-sizes AS (SELECT item_id, count(*) AS n_item FROM si GROUP BY item_id),
-sd AS (SELECT DISTINCT doc_id, s FROM (
-         SELECT doc_id, array_to_string(w[i:i+{SHINGLE - 1}], ' ') AS s
-         FROM (SELECT doc_id, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM w WHERE len(w) >= {SHINGLE}))
+WITH w AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(lower(text), '{WORD_RX}') AS w FROM documents),
+iw AS (SELECT i, item_id, w, least(len(w), {SHINGLE}) AS k FROM (
+         SELECT row_number() OVER () AS i, item_id, regexp_extract_all(lower(text), '{WORD_RX}') AS w FROM benchmark)
+       WHERE len(w) > 0),
+si AS (SELECT DISTINCT i, item_id, k, array_to_string(w[x:x+k-1], ' ') AS s
+       FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS x FROM iw)),
+sizes AS (SELECT i, count(*) AS n_item FROM si GROUP BY i),
+sd AS (SELECT DISTINCT d, doc_id, k, s FROM (
+         SELECT d, doc_id, k, array_to_string(w[x:x+k-1], ' ') AS s
+         FROM (SELECT d, doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS x
+               FROM w JOIN (SELECT DISTINCT k FROM iw) ON len(w) >= k))
        WHERE s IN (SELECT s FROM si)),
-hit AS (SELECT doc_id, item_id, count(*) AS n_shared FROM sd JOIN si USING (s) GROUP BY ALL)
+hit AS (SELECT d, doc_id, i, item_id, count(*) AS n_shared FROM sd JOIN si USING (k, s) GROUP BY ALL)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
-FROM hit JOIN sizes USING (item_id) WHERE n_shared >= {THRESHOLD} * n_item - 1e-9
+FROM hit JOIN sizes USING (i) WHERE n_shared >= {THRESHOLD} * n_item - 1e-9
 """

@@ -9,8 +9,8 @@ Built-in functions only.  Texts are equal when identical after lower-casing A-Z;
 counts as empty, so all empty texts are one group.  Of equal texts in one load the
 largest key stays; texts that the index already holds lose to the indexed key.  The key
 stands for the document: rows that repeat a key with an equal text are all counted and
-all flagged like their key.  A group of null keys only has a null ``keep_id``; rows with
-a null key cannot be named, so :func:`keep_one` leaves them in.
+all flagged like their key.  A group of null keys only has a null ``keep_id``.
+:func:`keep_one` keeps one row per text all the same.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path, table
+from .common import keep_rows, materialize, row_id, scratch_path, table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Digests with more than this share of all rows are joined by broadcast; there are
@@ -87,11 +87,11 @@ def new_index(spark: SparkSession) -> DigestIndex:
 
 
 def keep_one(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose key stays."""
+    """Exactly one row of ``docs``, with all its columns, per text that is new to the
+    index: the one with the largest key, and one of those that repeat it."""
     found = classify(docs, index or new_index(docs.sparkSession))
-    drop = found.where(~F.col("kept")).select(F.col("doc_id").alias("_key"), "text_sha256").distinct()
-    same = (F.col("doc_id") == F.col("_key")) & (F.lower(F.hex(digest(F.col("text")))) == F.col("text_sha256"))
-    return docs.join(drop, same, "left_anti")
+    told = found.select(row_id(F.col("doc_id"), F.col("text_sha256")).alias("id"), F.col("kept").alias("stays"))
+    return keep_rows(docs, F.lower(F.hex(digest(F.col("text")))), told)
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

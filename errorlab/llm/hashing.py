@@ -126,3 +126,20 @@ def shingles(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         full, doc = full[order], doc[order]
     per_doc = np.bincount(doc, minlength=len(counts)) if len(doc) else np.zeros(len(counts), np.int64)
     return full, np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int64)
+
+
+def word_grams(arr: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For ``n < SHINGLE``: hashes of all runs of ``n`` words, each as :func:`shingles`
+    gives it for a text of just these words, and the text of each."""
+    buf, offs = utf8(pc.utf8_lower(arr))
+    starts, ends, first = words(buf, offs)
+    h = span(prefix(buf), starts, ends)
+    m = len(h) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    full = h[:m] * _M[0]
+    for j in range(1, n):
+        full += h[j:j + m] * _M[j]
+    doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
+    inside = doc[:m] == doc[n - 1:]
+    return mix(full[inside] + np.uint64(n)), doc[:m][inside]

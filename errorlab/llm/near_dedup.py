@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import longs, materialize, pick, table, text_steps
+from .common import keep_rows, longs, materialize, pick, row_id, table, text_steps
 from .components import components
 from .hashing import mix, shingles
 
@@ -171,6 +171,19 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     return docs.mapInArrow(step, "doc_id long, node long, keys array<long>")
 
 
+def row_nodes(docs: DataFrame) -> DataFrame:
+    """``id, doc_id, node`` of every row (see ``common.row_id``)."""
+
+    def step(batches):
+        for b in text_steps(batches):
+            h, tf, offs = weighted_sets(b.column("text"))
+            node = pa.array(set_hash(h, tf, offs).view(np.int64), mask=np.diff(offs) == 0)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("doc_id"), node], ["id", "doc_id", "node"])
+
+    return docs.select(row_id(F.col("doc_id"), F.xxhash64("text")).alias("id"), "doc_id", "text") \
+        .mapInArrow(step, "id string, doc_id long, node long")
+
+
 def vectors(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, shingles, times`` of the nodes in ``wanted(node, doc_id)``."""
 
@@ -220,8 +233,19 @@ def weighted_jaccard(ha, wa, hb, wb) -> float:
 
 def link_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, class_id``: near-duplicate classes of all rows of ``docs``."""
+    signed, nodes, known = node_components(pick(docs), threshold)
+    classes = known.join(nodes.select("node", "doc_id"), "node") \
+        .groupBy("component").agg(F.min("doc_id").alias("class_id")).join(known, "component").select("node", "class_id")
+    named = nodes.select("node", "doc_id").join(classes, "node", "left") \
+        .select("node", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return signed.select("doc_id", "node").join(named, "node", "left") \
+        .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def node_components(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, the nodes, and ``node, component`` of those that share a
+    bucket with another one."""
     spark = docs.sparkSession
-    docs = pick(docs)
     idf = spark.sparkContext.broadcast(idf_table(*document_frequencies(docs)))
     signed = materialize(signatures(docs, idf), "signatures")
     nodes = signed.where(F.col("node").isNotNull()).groupBy("node") \
@@ -240,12 +264,7 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         pairs = materialize(_delegates(inner.select("bucket", "node").join(known, "node"), rounds), "pairs")
         known = _merge(known, materialize(verify(pairs, vecs, idf, threshold), "found"))
     known = _merge(known, materialize(remaining_links(member, known, held, vecs, idf, threshold), "found"))
-    classes = known.join(nodes.select("node", "doc_id"), "node") \
-        .groupBy("component").agg(F.min("doc_id").alias("class_id")).join(known, "component").select("node", "class_id")
-    named = nodes.select("node", "doc_id").join(classes, "node", "left") \
-        .select("node", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return signed.select("doc_id", "node").join(named, "node", "left") \
-        .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return signed, nodes, known
 
 
 def _delegates(member: DataFrame, turn: int) -> DataFrame:
@@ -346,10 +365,17 @@ def _merge(known: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose key is the smallest of its class."""
-    drop = link_classes(docs, threshold).where(F.col("doc_id") != F.col("class_id")) \
-        .select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("_key"), "left_anti")
+    """Exactly one row of ``docs``, with all its columns, per class: the one with the
+    smallest key (null keys last, ties by a hash of the text).  Rows without words are
+    never linked, so all of them stay."""
+    picked = pick(docs)
+    _, _, known = node_components(picked, threshold)
+    rows = materialize(row_nodes(picked), "row-nodes")
+    linked = rows.where(F.col("node").isNotNull()).join(known, "node", "left") \
+        .select("id", "doc_id", F.coalesce("component", "node").alias("class"))
+    first = linked.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id"))["id"].alias("first"))
+    told = linked.join(first, "class").select("id", (F.col("id") == F.col("first")).alias("stays"))
+    return keep_rows(docs, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), told)
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:

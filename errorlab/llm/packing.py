@@ -13,10 +13,10 @@ compatible bin.  A tree over the rooms holds for every range the bitmap that all
 bins have in common, so ranges without a compatible bin are skipped whole; this is what
 keeps a hot source or cluster from making the search linear.
 
-Only ``doc_id, n_words, source, cluster`` are shuffled.  Pieces are dealt by a hash of
-the key to shards of about ``shard_docs`` documents, which are packed independently; the
-only price is the last, partly filled bins of a shard.  A hot source or cluster is dealt
-evenly like everything else.
+Only ``doc_id, n_words, source, cluster`` are shuffled.  Documents are dealt by a hash of
+their key and row to shards of about ``shard_docs`` documents, at every size, and best
+fit is sought inside a shard; the only price is the last, partly filled bins of a shard.
+A hot source, cluster or key is dealt evenly like everything else.
 
 Null sources and clusters conflict with nothing; empty and null texts (no words) take no
 room, and still go to a bin; rows that repeat a key are packed as documents of their
@@ -133,9 +133,12 @@ def pack_documents(sized: DataFrame, capacity: int = CAPACITY, shard_docs: int =
                         "sized")
     shards = max(1, -(-sized.count() // shard_docs))
     last = F.greatest(F.ceil(F.col("n_words") / capacity) - 1, F.lit(0))
-    pieces = sized.select("doc_id", "n_words", "source", "cluster", F.explode(F.sequence(F.lit(0), last)).alias("piece")) \
+    # The row's place in the written table is part of the deal: no key, null or repeated, fills a shard.
+    deal = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(3)), F.lit(shards))
+    pieces = sized.withColumn("shard", deal) \
+        .select("doc_id", "n_words", "source", "cluster", "shard", F.explode(F.sequence(F.lit(0), last)).alias("piece")) \
         .select("doc_id", "piece", F.least(F.lit(capacity), F.col("n_words") - F.col("piece") * capacity).alias("n_words"),
-                "source", "cluster", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).alias("shard"))
+                "source", "cluster", "shard")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         # A document's own full pieces never share a bin with it, being as large as one.
