@@ -36,34 +36,46 @@ def expected_operations(word: str, error: str) -> Counter:
     """``(op, from, to)`` -> share of the minimal alignments of the two strings with that
     operation (summed over places); ``match`` included."""
     n, m = len(word), len(error)
-
-    def edges(i: int, j: int):
-        """Steps into cell (i, j): cell, cost, operation."""
-        if i:
-            yield i - 1, j, 1, ("delete", word[i - 1], "")
-        if j:
-            yield i, j - 1, 1, ("insert", word[i - 1] if i else START, error[j - 1])
-        if i and j:
-            same = word[i - 1] == error[j - 1]
-            yield i - 1, j - 1, 0 if same else 1, ("match" if same else "replace", word[i - 1], error[j - 1])
-
-    dist, ways = {(0, 0): 0}, {(0, 0): 1}
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if i or j:
-                dist[i, j] = min(dist[p, q] + cost for p, q, cost, _ in edges(i, j))
-                ways[i, j] = sum(ways[p, q] for p, q, cost, _ in edges(i, j) if dist[p, q] + cost == dist[i, j])
+    band = max(abs(n - m), 2)
+    while True:  # alignments of cost <= band stay within the band around the diagonal
+        dist, ways = _forward(word, error, band)
+        if dist[n, m] <= band:
+            break
+        band *= 2
     ahead, out = Counter({(n, m): 1}), Counter()  # completions along tight edges
     for i in range(n, -1, -1):
-        for j in range(m, -1, -1):
+        for j in range(min(m, i + band), max(0, i - band) - 1, -1):
             if ahead[i, j]:
-                for p, q, cost, op in edges(i, j):
-                    if dist[p, q] + cost == dist[i, j]:
-                        ahead[p, q] += ahead[i, j]
-                        out[op] += ways[p, q] * ahead[i, j] / ways[n, m]
+                for cell, cost, op in _edges(word, error, i, j):
+                    if cell in dist and dist[cell] + cost == dist[i, j]:
+                        ahead[cell] += ahead[i, j]
+                        out[op] += ways[cell] * ahead[i, j] / ways[n, m]
     return out
 
 
+def _edges(word: str, error: str, i: int, j: int):
+    """Steps into cell (i, j): the cell before, cost, operation."""
+    if i:
+        yield (i - 1, j), 1, ("delete", word[i - 1], "")
+    if j:
+        yield (i, j - 1), 1, ("insert", word[i - 1] if i else START, error[j - 1])
+    if i and j:
+        same = word[i - 1] == error[j - 1]
+        yield (i - 1, j - 1), 0 if same else 1, ("match" if same else "replace", word[i - 1], error[j - 1])
+
+
+def _forward(word: str, error: str, band: int) -> tuple[dict, dict]:
+    """Distance to each cell of the band, and the number of minimal alignments up to it."""
+    dist, ways = {(0, 0): 0}, {(0, 0): 1}
+    for i in range(len(word) + 1):
+        for j in range(max(0, i - band), min(len(error), i + band) + 1):
+            if i or j:
+                steps = [(dist[cell] + cost, ways[cell]) for cell, cost, _ in _edges(word, error, i, j) if cell in dist]
+                dist[i, j] = min(d for d, _ in steps)
+                ways[i, j] = sum(w for d, w in steps if d == dist[i, j])
+    return dist, ways
+
+
 def estimate(pairs: DataFrame, correct: str = "correct", error: str = "error", weight: str | None = None) -> DataFrame:
     """``(op, from_ch, to_ch, n)``: expected counts in millionths; pairs that repeat are
     aligned once."""
