@@ -187,15 +187,15 @@ def _subset_shapes(df: DataFrame, col: str, key: str, shapes: Sequence[Shape], c
     return out
 
 
-def minimum_covariance(df: DataFrame, col: str, key: str, starts: int = 4, first_steps: int = 2, steps: int = 10,
+def minimum_covariance(df: DataFrame, col: str, key: str, starts: int = 4, first_steps: int = 2, iterations: int = 10,
                        best: int = 2, h_share: float | None = None, seed: int = 17) -> Shape:
     """The subset of ``h`` rows with the smallest covariance determinant, as its shape.
 
     Several starts: the classical shape of all rows, and those of small random subsets
     (the d + 1 or 2 d rows, whichever is more, with the smallest key hashes of a start).
     Concentration steps replace each subset by the ``h`` rows nearest to its shape; the
-    determinant never grows.  After ``first_steps`` only the ``best`` starts go on, until
-    nothing changes.  All starts share every pass over the data; the driver holds d x d
+    determinant never grows.  After ``first_steps`` only the ``best`` starts go on, for
+    up to ``iterations`` more or until nothing changes.  All starts share every pass over the data; the driver holds d x d
     matrices and counts only.  ``h`` defaults to (n + d + 1) // 2.
     """
     n, d = df.count(), len(df.select(col).first()[0])
@@ -207,7 +207,7 @@ def minimum_covariance(df: DataFrame, col: str, key: str, starts: int = 4, first
         rows = df.select(col, key).orderBy(order, key).limit(few).collect()  # 2 d rows
         x = np.array([r[0] for r in rows], "float64")
         shapes.append(Shape(x.mean(axis=0), np.cov(x.T, bias=True).reshape(d, d) + 1e-9 * np.eye(d)))
-    for step in range(first_steps + steps):
+    for step in range(first_steps + iterations):
         before = [s.log_det for s in shapes]
         shapes = _subset_shapes(df, col, key, shapes, _cuts(df, col, key, shapes, h, seed), seed)
         if step + 1 == first_steps:

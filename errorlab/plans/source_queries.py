@@ -33,7 +33,7 @@ def s2(fx):
     S.bulk_tokenize(fx.spark, f"{path}/in", f"{path}/out")
     return fx.spark.read.parquet(f"{path}/out").select(
         F.regexp_extract(F.url_decode(F.col("source_file").cast("string")), "lang=([^/]*)/", 1).alias("lang"),
-        F.explode("tokens").alias("token")).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
+        "token").groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("S6_split_files", """

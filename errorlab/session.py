@@ -44,11 +44,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` (a scan) dealt over the session's cores if it comes from fewer files: a file
-    with one row group is one task, and so is all row-wise work behind it.  Rows go by a
-    hash of their values, so a repeated task deals them alike.  Larger inputs stay as they
-    are."""
+    with one row group is one task, and so is all row-wise work behind it.  Rows are dealt
+    in turn (Spark sorts them first, so a repeated task deals them alike), and only columns
+    that are used.  Larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *df.columns)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -38,10 +38,10 @@ def corpus_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
 # S2 ------------------------------------------------------------------------
 def bulk_tokenize(spark: SparkSession, path: str, out: str) -> None:
     """Tokenise many sentence files, a line at a time (no file is held whole); one output
-    partition per input file, a row per line with its tokens."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path) \
-        .select(F.col("_metadata.file_path").alias("source_file"), token_array(F.col("value")).alias("tokens"))
-    lines.write.mode("overwrite").partitionBy("source_file").parquet(out)
+    partition per input file, a row per token with its place in the line."""
+    tokens = spark.read.option("recursiveFileLookup", "true").text(path) \
+        .select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(token_array(F.col("value"))).alias("pos", "token"))
+    tokens.write.mode("overwrite").partitionBy("source_file").parquet(out)
 
 
 def _int_array(df: DataFrame, c: str):

@@ -12,13 +12,22 @@ from errorlab.plans.fixtures import Fx
 def test_pair_ranker_answers_every_test_example(spark):
     got = E.queries()["L2_train_pair_ranker"](spark, SF_SMALL).select(
         "example_id", "n_candidates", F.col("correct").cast("int").alias("correct")).collect()
-    ids = Q._split(Q.examples(Fx(spark, SF_SMALL)).select("example_id", "context_id"), "context_id") \
+    ids = Q._split(Q.spellings(Fx(spark, SF_SMALL)).select("example_id", "context_id"), "context_id") \
         .filter("split = 'test'").select("example_id").collect()
     assert sorted(r.example_id for r in got) == sorted(r.example_id for r in ids)
     assert all(r.correct == 0 for r in got if r.n_candidates == 0)
     assert sum(r.correct for r in got) / len(got) > 0.4
 
 
+def test_corrector_answers_every_test_example(spark):
+    got = E.queries()["L3_train_corrector"](spark, SF_SMALL).select("example_id", "label", "prediction").collect()
+    ids = Q._split(Q.spellings(Fx(spark, SF_SMALL)).select("example_id", "context_id"), "context_id") \
+        .filter("split = 'test'").select("example_id").collect()
+    assert sorted(r.example_id for r in got) == sorted(r.example_id for r in ids)
+    assert len({r.label for r in got}) > 500
+    assert sum(r.label == r.prediction for r in got) / len(got) > 0.5  # among a thousand words
+
+
 def test_grid_search_repeats(spark):
     first, again = (sorted(map(tuple, E.queries()["L5_grid_search"](spark, SF_SMALL).collect())) for _ in range(2))
     assert [r for r, _ in first] == [0.0, 0.01, 0.1]

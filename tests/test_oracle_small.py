@@ -11,8 +11,7 @@ import __spark_entry__ as E
 from support import SF_SMALL
 from errorlab.session import TABLES
 
-SLOW = {"L1_train_detector", "L2_train_pair_ranker", "L3_train_corrector", "L5_grid_search", "R8_learning_curve",
-        "O2_robust_mahalanobis"}
+SLOW = {"L1_train_detector", "L2_train_pair_ranker", "L5_grid_search", "R8_learning_curve", "O2_robust_mahalanobis"}
 
 
 def _norm(v):
