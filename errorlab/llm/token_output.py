@@ -12,7 +12,7 @@ The file format is a folder of two Parquet tables, so any store that Spark reach
 
 Reading a short document takes its block's index and one frame.  Texts are encoded
 whole; null counts as empty (the end id alone).  Null keys come first, equal keys in the
-order of their ids.  Blocks end at ``BLOCK_BYTES``; a longer document has one of its own.
+order of their frames.  Blocks end at ``BLOCK_BYTES``; a longer document has one of its own.
 An empty table gives files without blocks.
 """
 
@@ -219,7 +219,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     """The same for a few keys: other blocks are skipped by their statistics and other
-    frames of a block are not decompressed."""
+    frames of a block are not decompressed.  No keys: no rows."""
+    if not doc_ids:
+        return read_tokens(spark, path).limit(0).drop("start")
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where(
         (F.col("first_id").isNull() | (F.col("first_id") <= max(doc_ids))) & (F.col("last_id") >= min(doc_ids))
         & F.arrays_overlap("doc_ids", F.array(*[F.lit(d).cast("long") for d in doc_ids]))) \

@@ -145,6 +145,9 @@ def test_token_round_trip(spark, odd):
     end = np.array([2], "<u4").tobytes()
     assert sorted(bytes(r.ids) for r in rows) == sorted(x + end for x in want[:odd.count()])
     assert [r.start for r in rows] == np.concatenate([[0], np.cumsum([r.n_tokens for r in rows])])[:-1].tolist()
+    keys = [r.doc_id for r in rows]  # in the order of the files
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0))
+    assert token_output.read_documents(spark, path, []).count() == 0
     one = token_output.read_documents(spark, path, [8]).collect()
     assert [bytes(r.ids) for r in one] == [next(v for (d, _), v in ids.items() if d == 8) + end]
     assert zlib.crc32(bytes(one[0].ids)) and hashlib.sha256(definition.encode())
