@@ -81,7 +81,7 @@ class Fx:
             self.vocab().select("term", (F.col("term_id") + 1).alias("term_id")), P.max_features))
 
     def sents(self) -> DataFrame:
-        """English lines as id sequences: ``(sent_id, toks, sent, len)``.
+        """Lines of all documents as id sequences: ``(sent_id, lang, toks, sent, len)``.
 
         Token ids come from a broadcast hash join with the (bounded)
         vocabulary and are regrouped per line; a literal map would cost a
@@ -89,25 +89,26 @@ class Fx:
         """
         def build():
             v = F.broadcast(self.vocab().select(F.col("term").alias("tok"), (F.col("term_id") + 1).alias("id")))
-            lines = (self.t("documents").filter(F.col("lang") == "en")
-                     .select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l")))
-            toks = lines.select((F.col("doc_id") * SENT_FACTOR + F.col("line")).alias("sent_id"),
+            lines = (spread(self.t("documents").select("doc_id", "lang", "text"))
+                     .select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line", "l")))
+            toks = lines.select((F.col("doc_id") * SENT_FACTOR + F.col("line")).alias("sent_id"), "lang",
                                 F.posexplode(token_array(F.col("l"))).alias("i", "tok"))
-            coded = toks.join(v, "tok", "left").select("sent_id", F.struct("i", "tok", F.coalesce("id", F.lit(0)).alias("id")).alias("c"))
-            grouped = coded.groupBy("sent_id").agg(F.sort_array(F.collect_list("c")).alias("_c"))
-            return grouped.select("sent_id", F.transform("_c", lambda c: c["tok"]).alias("toks"),
+            coded = toks.join(v, "tok", "left").select(
+                "sent_id", "lang", F.struct("i", "tok", F.coalesce("id", F.lit(0)).alias("id")).alias("c"))
+            grouped = coded.groupBy("sent_id", "lang").agg(F.sort_array(F.collect_list("c")).alias("_c"))
+            return grouped.select("sent_id", "lang", F.transform("_c", lambda c: c["tok"]).alias("toks"),
                                   F.transform("_c", lambda c: c["id"]).alias("sent"), F.size("_c").alias("len"))
         return self._get("sents", build)
 
     def pairs(self) -> DataFrame:
-        """Each confusable occurrence (is_error false) and a copy whose word is
+        """Each confusable occurrence in English (is_error false) and a copy whose word is
         replaced by a different confusable picked by hash (is_error true)."""
         def build():
             # ids of the nine confusable words only (a 9-entry literal map)
             rows = self.vocab().filter(F.col("term").isin(*CONFUSABLES)).select("term", "term_id").collect()
             ids = T.literal_map((r[0], int(r[1]) + 1) for r in rows)
             conf = F.array(*[F.lit(c) for c in CONFUSABLES])
-            occ = (self.sents()
+            occ = (self.sents().filter(F.col("lang") == "en")
                    .select("sent_id", "sent", "len", F.posexplode("toks").alias("position", "original"))
                    .filter(F.col("original").isin(*CONFUSABLES)))
             pid = F.col("sent_id") * PAIR_FACTOR + F.col("position")
@@ -153,12 +154,12 @@ _CONF_SQL = "[" + ", ".join(f"'{c}'" for c in CONFUSABLES) + "]"
 FIX_SQL.update({
     "vocab_ids": (("vocab",), "SELECT term, term_id + 1 AS id FROM vocab"),
     "sents": ((), f"""
-        SELECT sent_id, toks FROM (
-          SELECT doc_id * {SENT_FACTOR} + line AS sent_id, regexp_extract_all(lower(l), {sql_lit(TOKEN_RX)}, 0) AS toks
-          FROM (SELECT doc_id, unnest(ls) AS l, CAST(unnest(range(len(ls))) AS BIGINT) AS line
-                FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE lang = 'en')))
+        SELECT sent_id, lang, toks FROM (
+          SELECT doc_id * {SENT_FACTOR} + line AS sent_id, lang, regexp_extract_all(lower(l), {sql_lit(TOKEN_RX)}, 0) AS toks
+          FROM (SELECT doc_id, lang, unnest(ls) AS l, CAST(unnest(range(len(ls))) AS BIGINT) AS line
+                FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents)))
         WHERE len(toks) > 0"""),
-    "sent_tok": (("sents",), "SELECT sent_id, unnest(toks) AS tok, CAST(unnest(range(len(toks))) AS INT) AS i FROM sents"),
+    "sent_tok": (("sents",), "SELECT sent_id, lang, unnest(toks) AS tok, CAST(unnest(range(len(toks))) AS INT) AS i FROM sents"),
     "sent_ids": (("sent_tok", "vocab_ids"), """
         SELECT s.sent_id, list(coalesce(v.id, 0) ORDER BY s.i) AS sent, CAST(count(*) AS INT) AS len
         FROM sent_tok s LEFT JOIN vocab_ids v ON s.tok = v.term GROUP BY s.sent_id"""),
@@ -169,7 +170,7 @@ FIX_SQL.update({
                list_transform(si.sent, lambda x, i: CASE WHEN i - 1 = o.position THEN coalesce(vi.id, 0) ELSE x END) AS sent,
                si.len
         FROM (SELECT sent_id, i AS position, tok AS original, sent_id * {PAIR_FACTOR} + i AS pair_id
-              FROM sent_tok WHERE tok IN {tuple(CONFUSABLES)}) o
+              FROM sent_tok WHERE lang = 'en' AND tok IN {tuple(CONFUSABLES)}) o
         CROSS JOIN (SELECT unnest([false, true]) AS is_error) e
         CROSS JOIN LATERAL (SELECT CASE WHEN e.is_error THEN
              list_filter({_CONF_SQL}, lambda x: x <> o.original)[

@@ -582,26 +582,28 @@ def b6(fx):
     return B.ok_centre(p, "win", ids, 5).select("pair_id", "is_error")
 
 
-_ROW_KEY = "pair_id * 2 + CAST(is_error AS INT)"
-
-
 def _rows(fx):
     return fx.pairs().select((F.col("pair_id") * 2 + F.col("is_error").cast("int")).alias("row_key"))
 
 
+def _lines(fx):
+    """Every line of every document by its key."""
+    return fx.sents().select(F.col("sent_id").alias("row_key"))
+
+
 @register("B7_sample_batch", with_fixtures(f"""
-    SELECT row_key FROM (SELECT {_ROW_KEY} AS row_key FROM pairs)
-    ORDER BY {u32_sql('duck', P.seed, 'batch', "'0'", 'row_key')}, row_key LIMIT 256""", "pairs"))
+    SELECT row_key FROM (SELECT sent_id AS row_key FROM sents)
+    ORDER BY {u32_sql('duck', P.seed, 'batch', "'0'", 'row_key')}, row_key LIMIT 256""", "sents"))
 def b7(fx):
-    return B.sample_batch(_rows(fx), "row_key", 256, P.seed, 0)
+    return B.sample_batch(_lines(fx), "row_key", 256, P.seed, 0)
 
 
 @register("B8_make_batches", with_fixtures(f"""
     SELECT row_key, CAST((row_number() OVER (ORDER BY {u32_sql('duck', P.seed, 'epoch', "'0'", 'row_key')}, row_key) - 1)
                          // 64 AS BIGINT) AS batch_id
-    FROM (SELECT {_ROW_KEY} AS row_key FROM pairs)""", "pairs"))
+    FROM (SELECT sent_id AS row_key FROM sents)""", "sents"))
 def b8(fx):
-    return B.make_batches(_rows(fx), "row_key", 64, P.seed, 0)
+    return B.make_batches(_lines(fx), "row_key", 64, P.seed, 0)
 
 
 @register("B9_pairwise_shuffle", with_fixtures(f"""
@@ -627,7 +629,7 @@ def b10(fx):
 
 
 @register("I1_dense_index", with_fixtures(
-    f"SELECT row_key, row_number() OVER (ORDER BY row_key) - 1 AS idx FROM (SELECT {_ROW_KEY} AS row_key FROM pairs)",
-    "pairs"))
+    "SELECT row_key, row_number() OVER (ORDER BY row_key) - 1 AS idx FROM (SELECT sent_id AS row_key FROM sents)",
+    "sents"))
 def i1(fx):
-    return B.dense_index(_rows(fx), "row_key")
+    return B.dense_index(_lines(fx), "row_key")
