@@ -7,16 +7,21 @@ and are judged on the input.
 1. Every string of ``LENGTH`` bytes has an anchor: the leftmost of its ``K``-byte grams
    with the smallest hash.  Equal strings have equal anchors, so only strings whose
    anchor occurs in two documents need a comparison.  Tasks send one entry per anchor
-   and tell at once which of their own documents share it, so an anchor that a third of
+   (48 bits of its hash; a chance agreement costs a comparison and changes nothing) and
+   tell at once which of their own documents share it, so an anchor that a third of
    all documents hold costs one entry per task.
-2. Regions around shared anchors are compared where they are: a suffix array over their
-   starts, cut at ``LENGTH`` bytes, and along it the longest previous factor: the suffixes that agree in ``LENGTH`` bytes are neighbours, and one
-   has an earlier match if the previous smaller key in suffix order lies among them
-   (ties are in key order, so the next smaller one never does).
+2. The texts and their shared anchors are written once, bucketed by key, so that they
+   are exchanged once.  Regions around shared anchors are compared where they are: a
+   suffix array over their starts, the common prefixes of its neighbours (counted up to
+   ``LENGTH`` bytes), the previous and the next place in suffix order with a smaller
+   key, and from these the longest previous factor of each start.  A start whose factor
+   has ``LENGTH`` bytes has an earlier match.  Of segments around one anchor that agree
+   byte by byte only that of the smallest key enters the arrays: at each start of the
+   others it is the earlier match.
 3. What found no earlier match goes on, with its ``LENGTH - K`` bytes on either side, to
    the task that owns the anchor, and the same arrays are built over all documents'
    regions there.
-4. The starts found are joined with the documents' texts.
+4. The starts found meet the documents' texts in their buckets.
 
 Keys order the documents: rows without a key, or with equal keys, never clear each
 other, and a row without a key loses nothing.  Rows that repeat a key share what was found for it, each
@@ -26,6 +31,7 @@ cut by its own length.  Texts under ``LENGTH`` bytes lose nothing.  An empty tab
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import longs, materialize, pick, table, text_steps, utf8
+from .common import longs, materialize, pick, scratch_path, table, text_steps, utf8
 from .hashing import mix, prefix, span
 
 LENGTH = 50
@@ -41,6 +47,31 @@ K = 24
 WINDOW = LENGTH - K + 1
 #: Entries or bytes after which a task compares what it has gathered.
 FLUSH = 3 << 20
+#: Bytes of an anchor's hash that travel.
+KEY = 6
+
+
+def _planes(values: np.ndarray, width: int = 8) -> bytes:
+    """The lowest ``width`` bytes of 64-bit numbers, byte by byte rather than number by
+    number: what neighbours share packs well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _numbers(planes: bytes, width: int = 8) -> np.ndarray:
+    at = np.frombuffer(planes, np.uint8).reshape(width, -1)
+    out = np.zeros((at.shape[1], 8), np.uint8)
+    out[:, :width] = at.T
+    return out.view(np.uint64).ravel()
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, the first value first; a running sum undoes it."""
+    values = values.astype(np.int64).view(np.uint64)
+    return np.diff(values, prepend=np.uint64(0))
+
+
+def _sums(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.uint64).view(np.int64)
 
 
 def _leftmost_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -55,11 +86,11 @@ def _leftmost_minima(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray):
-    """Segments of window starts with one anchor: its hash, the text, the first start
-    (in ``buf``) and the number of starts."""
+    """Segments of window starts with one anchor: its hash (``KEY`` bytes), the text, the
+    first start (in ``buf``), the number of starts and the anchor's place from the first."""
     empty = np.zeros(0, np.int64)
     if len(buf) < LENGTH:
-        return empty.astype(np.uint64), empty, empty, empty
+        return empty.astype(np.uint64), empty, empty, empty, empty
     pre = prefix(buf)
     at = np.arange(len(buf) - K + 1)
     h = span(pre, at, at + K)
@@ -72,7 +103,8 @@ def anchors(buf: np.ndarray, offs: np.ndarray):
     first = np.flatnonzero(new)
     size = np.add.reduceat(valid, first) if len(first) else empty
     # A segment ends where the next begins or where windows stop being valid.
-    return h[anchor[first]], doc[first], first, size.astype(np.int64)
+    key = h[anchor[first]] >> np.uint64(64 - 8 * KEY)
+    return key, doc[first], first, size.astype(np.int64), anchor[first] - first
 
 
 def _split(values: np.ndarray) -> np.ndarray:
@@ -98,16 +130,19 @@ def _by_doc(h: np.ndarray, doc: np.ndarray, parts: int) -> pa.RecordBatch:
     h, doc = h[order], doc[order]
     cut = _split(doc)
     docs = doc[cut[:-1]] if len(doc) else doc
+    data = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :KEY].tobytes()
+    none = pa.array([None] * len(docs), pa.binary())
     return pa.RecordBatch.from_arrays(
         [longs(mix(docs.view(np.uint64)) % np.uint64(parts)), longs(docs),
-         pa.array([h[i:j].tobytes() for i, j in zip(cut, cut[1:])][:len(docs)], pa.binary()),
-         pa.array([None] * len(docs), pa.binary())], ["bucket", "doc_id", "hashes", "docs"])
+         pa.array([data[KEY * i:KEY * j] for i, j in zip(cut, cut[1:])][:len(docs)], pa.binary()), none, none],
+        ["bucket", "doc_id", "hashes", "docs", "places"])
 
 
 def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
     """``doc_id, hashes``: anchors that the document shares with another one."""
 
     def count(batches):
+        packer = zstandard.ZstdCompressor(level=1)
         hs, ds, held = [], [], 0
 
         def flush():
@@ -119,16 +154,19 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
             owner = h % np.uint64(parts)
             order = np.argsort(owner, kind="stable")
             h, doc, owner = h[order], doc[order], owner[order]
-            cut = _split(owner)[:-1]
-            ends = np.append(cut[1:], len(h))
+            cut = _split(owner)
+            packed = []
+            for i, j in zip(cut[:-1], cut[1:]):
+                known, place = np.unique(doc[i:j], return_inverse=True)
+                packed.append([packer.compress(x) for x in (
+                    _planes(h[i:j], KEY), _planes(_steps(known)), _planes(place.astype(np.int64), 4))])
+            blobs = [pa.array(list(x), pa.binary()) for x in zip(*packed)]
             yield pa.RecordBatch.from_arrays(
-                [longs(owner[cut]), pa.array([None] * len(cut), pa.int64()),
-                 pa.array([h[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()),
-                 pa.array([doc[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())],
-                ["bucket", "doc_id", "hashes", "docs"])
+                [longs(owner[cut[:-1]]), pa.array([None] * len(packed), pa.int64()), *blobs],
+                ["bucket", "doc_id", "hashes", "docs", "places"])
 
         for b in text_steps(batches):
-            h, d, _, _ = anchors(*utf8(b.column("text")))
+            h, d, *_ = anchors(*utf8(b.column("text")))
             if len(h):
                 hs.append(h)
                 ds.append(b.column("doc_id").to_numpy()[d])
@@ -140,60 +178,92 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
             yield from flush()
 
     def meet(batches):
+        reader = zstandard.ZstdDecompressor()
         hs, ds = [], []
         for b in batches:
             told = b.filter(pa.array(~np.array(b.column("doc_id").is_null())))
             if told.num_rows:
                 yield told.select(["doc_id", "hashes"])
-            for h, d in zip(b.column("hashes"), b.column("docs")):
-                if d.is_valid:
-                    hs.append(np.frombuffer(h.as_buffer(), np.uint64))
-                    ds.append(np.frombuffer(d.as_buffer(), np.int64))
+            for row in zip(b.column("hashes"), b.column("docs"), b.column("places")):
+                if row[1].is_valid:
+                    h, known, place = (reader.decompress(x.as_buffer()) for x in row)
+                    hs.append(_numbers(h, KEY))
+                    ds.append(_sums(_numbers(known))[_numbers(place, 4).astype(np.int64)])
         if hs:
             h, doc, many = _shared(np.concatenate(hs), np.concatenate(ds))
             if many.any():
                 yield _by_doc(h[many], doc[many], parts).select(["doc_id", "hashes"])
 
-    schema = "bucket long, doc_id long, hashes binary, docs binary"
+    schema = "bucket long, doc_id long, hashes binary, docs binary, places binary"
     return docs.mapInArrow(count, schema).repartition(parts, "bucket").mapInArrow(meet, "doc_id long, hashes binary")
 
 
 def suffix_order(buf: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array of the given starts by their first ``LENGTH`` bytes, ties by key,
-    and whether each suffix agrees in all of them with the one before it (their common
-    prefix, cut at ``LENGTH``)."""
+    and the common prefix of each suffix with the one before it, up to ``LENGTH`` bytes."""
     wide = np.concatenate([buf, np.zeros(8, np.uint8)])
     word = np.zeros(len(buf), np.uint64)  # eight bytes from each position, as a number
     for j in range(8):
         word = (word << np.uint64(8)) | wide[j:j + len(buf)]
-    keys = [word[starts + j] for j in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
+    places = (*range(0, LENGTH - 8, 8), LENGTH - 8)
+    keys = [word[starts + j] for j in places]
     order = np.lexsort((doc, *keys[::-1]))
-    same = np.ones(len(starts), bool)
-    same[:1] = False
-    for k in keys:
+    lcp = np.full(len(starts), LENGTH, np.int16)
+    for j, k in reversed(list(zip(places, keys))):
         k = k[order]
-        same[1:] &= k[1:] == k[:-1]
-    return order, same
-
-
-def earlier(buf: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether the ``LENGTH`` bytes at each start also begin in a document with a smaller
-    key: the longest previous factor along the suffix array, cut at ``LENGTH``.  Only
-    starts whose hash occurs twice enter the array."""
+        differ = k[1:] ^ k[:-1]
+        at = np.flatnonzero(differ)
+        # Whole bytes that agree before the highest bit that differs.
+        agree = np.zeros(len(at), np.int16)
+        for byte in range(1, 8):
+            agree += differ[at] < np.uint64(1) << np.uint64(64 - 8 * byte)
+        lcp[at + 1] = j + agree
+    lcp[:1] = 0
+    return order, lcp
+
+
+def _smaller_before(key: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each place of a suffix array the common prefix with the nearest place before
+    it that has a smaller key (0: none).  ``lcp`` is that of each place with the one
+    before.  Pointers double: a place whose neighbour is not smaller takes over the
+    neighbour's pointer; it gives up below ``LENGTH``, where the answer has no use."""
+    at = np.arange(len(key)) - 1
+    low = lcp.copy()
+    live = np.flatnonzero(low >= LENGTH)
+    live = live[key[at[live]] >= key[live]]
+    while len(live):
+        via = at[live]
+        reach, least = at[via], np.minimum(low[live], low[via])
+        at[live], low[live] = reach, least
+        live = live[(least >= LENGTH) & (reach >= 0)]
+        live = live[key[at[live]] >= key[live]]
+    return low
+
+
+def previous_factor(key: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each place of a suffix array, up to ``LENGTH``: its
+    longest common prefix with a suffix of a smaller key, which is the nearest of these
+    before or after it.  Lengths under ``LENGTH`` are upper bounds."""
+    before = _smaller_before(key, lcp)
+    after = _smaller_before(key[::-1], np.append(lcp[1:], lcp.dtype.type(0))[::-1])[::-1]
+    return np.maximum(before, after)
+
+
+def earlier(buf: np.ndarray, starts: np.ndarray, doc: np.ndarray, pre: np.ndarray | None = None) -> np.ndarray:
+    """Whether the longest previous factor at each start, among the documents with a
+    smaller key, has ``LENGTH`` bytes.  Only starts whose hash occurs twice enter the
+    arrays; all others have a shorter one."""
     out = np.zeros(len(starts), bool)
     if len(starts) < 2:
         return out
-    h = span(prefix(buf), starts, starts + LENGTH)
+    h = span(prefix(buf) if pre is None else pre, starts, starts + LENGTH)
     ordered = np.sort(h)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(twice):
         return out
     at = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h)
-    order, same = suffix_order(buf, starts[at], doc[at])
-    doc = doc[at][order]
-    # The previous smaller key, if any, is the first of the run that agrees.
-    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    out[at[order]] = doc[first] < doc
+    order, lcp = suffix_order(buf, starts[at], doc[at])
+    out[at[order]] = previous_factor(doc[at][order], lcp) >= LENGTH
     return out
 
 
@@ -203,52 +273,113 @@ def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
 
 
-def _found(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    cut = _split(doc)[:-1]
-    ends = np.append(cut[1:], len(doc))
+def _keys(data: bytes) -> np.ndarray:
+    """Anchor hashes written one after the other, ``KEY`` bytes each."""
+    out = np.zeros((len(data) // KEY, 8), np.uint8)
+    out[:, :KEY] = np.frombuffer(data, np.uint8).reshape(-1, KEY)
+    return out.view(np.uint64).ravel()
+
+
+def _grams(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One number for the ``K`` bytes at each position."""
+    words = buf[at[:, None] + np.arange(K)].view(np.uint64)
+    out = np.zeros(len(at), np.uint64)
+    for j in range(K // 8):
+        out = mix(out + words[:, j])
+    return out
+
+
+def matched(buf: np.ndarray, key: np.ndarray, at: np.ndarray, doc: np.ndarray, size: np.ndarray,
+            place: np.ndarray) -> np.ndarray:
+    """:func:`earlier` for all starts of segments that lie at ``at``, one after the other.
+    A segment that equals one of a smaller key byte by byte has an earlier match at each
+    start and adds nothing to the others' answers; a segment whose anchor no other one
+    has, has none.  Only the starts of the rest enter the arrays."""
+    width = size + LENGTH - 1
+    pre = prefix(buf)
+    whole = mix(span(pre, at, at + width) + mix(size << 8 | place))
+    order = np.lexsort((doc, whole))
+    cut = _split(whole[order])[:-1]
+    first = np.zeros(len(order), np.int64)
+    first[cut] = cut
+    model = np.empty(len(order), np.int64)
+    model[order] = order[np.maximum.accumulate(first)]
+    later = np.flatnonzero((doc[model] < doc) & (size[model] == size))
+    if len(later):
+        w = width[later]
+        same = buf[_spread(at[later], w)] == buf[_spread(at[model[later]], w)]
+        later = later[np.logical_and.reduceat(same, np.cumsum(w) - w)]
+    copies = np.zeros(len(order), bool)
+    copies[later] = True
+    hit = np.repeat(copies, size)
+    rest = np.flatnonzero(~copies)
+    _, group, n = np.unique(key[rest], return_inverse=True, return_counts=True)
+    rest = rest[n[group] > 1]
+    if len(rest):
+        flat = np.cumsum(size) - size
+        hit[_spread(flat[rest], size[rest])] = earlier(
+            buf, _spread(at[rest], size[rest]), np.repeat(doc[rest], size[rest]), pre)
+    return hit
+
+
+def _found(hit: np.ndarray, doc: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """The starts that are ``hit``, per document as runs ``(first start, number)``."""
+    cut = np.cumsum(size) - size
+    edge = np.zeros(len(hit) + 1, bool)
+    edge[cut] = edge[-1] = True
+    begin = hit.copy()
+    begin[1:] &= edge[1:-1] | ~hit[:-1]
+    end = hit.copy()
+    end[:-1] &= edge[1:-1] | ~hit[1:]
+    begin, end = np.flatnonzero(begin), np.flatnonzero(end)
+    seg = np.searchsorted(cut, begin, "right") - 1
+    doc, first, n = doc[seg], first[seg] + begin - cut[seg], end - begin + 1
+    order = np.lexsort((first, doc))
+    doc, first, n = doc[order], first[order], n[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + n[:-1])
+    lead = np.flatnonzero(new)
+    doc, first, n = doc[lead], first[lead], np.add.reduceat(n, lead)
+    runs = np.column_stack([first, n]).astype(np.uint32)
+    cut = _split(doc)
     return pa.RecordBatch.from_arrays(
-        [pa.array([None] * len(cut), pa.int64()), longs(doc[cut]),
-         pa.array([at[i:j].astype(np.int64).tobytes() for i, j in zip(cut, ends)], pa.binary()),
-         pa.array([None] * len(cut), pa.binary())], ["bucket", "doc_id", "a", "b"])
+        [pa.array([None] * (len(cut) - 1), pa.int64()), longs(doc[cut[:-1]]),
+         pa.array([runs[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
+         pa.array([None] * (len(cut) - 1), pa.binary())], ["bucket", "doc_id", "a", "b"])
 
 
 def covered_starts(suspects: DataFrame, parts: int) -> DataFrame:
-    """``doc_id, starts``: window starts with an earlier match."""
+    """``doc_id, starts``: window starts with an earlier match, as runs of neighbours."""
 
     def local(batches):
         segs, text, held = [], [], 0
 
         def flush():
-            h, doc, first, size, region_at = (np.concatenate(x) for x in zip(*segs))
+            h, doc, first, size, place, region_at = (np.concatenate(x) for x in zip(*segs))
             buf = np.concatenate(text)
-            starts = _spread(region_at, size)
-            hit = earlier(buf, starts, np.repeat(doc, size))
-            where = _spread(first, size)
+            hit = matched(buf, h, region_at, doc, size, place)
             if hit.any():
-                yield _found(np.repeat(doc, size)[hit], where[hit])
+                yield _found(hit, doc, first, size)
             cut = np.cumsum(size) - size
             open_ = np.add.reduceat(~hit, cut) > 0
-            h, doc, first, size, region_at = (x[open_] for x in (h, doc, first, size, region_at))
+            h, doc, first, size, place, region_at = (x[open_] for x in (h, doc, first, size, place, region_at))
             owner = h % np.uint64(parts)
             for p in np.unique(owner):
                 mine = np.flatnonzero(owner == p)
-                rows = np.column_stack([h[mine].view(np.int64), doc[mine], first[mine], size[mine]])
+                rows = _planes(_steps(doc[mine])) + _planes(_steps(first[mine])) + _planes(size[mine] << 8 | place[mine], 2)
                 parts_of = buf[_spread(region_at[mine], size[mine] + LENGTH - 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [longs([p]), pa.array([None], pa.int64()), pa.array([rows.tobytes()], pa.binary()),
+                    [longs([p]), pa.array([None], pa.int64()), pa.array([packer.compress(rows)], pa.binary()),
                      pa.array([packer.compress(parts_of.tobytes())], pa.binary())], ["bucket", "doc_id", "a", "b"])
 
         packer = zstandard.ZstdCompressor(level=3)
         for b in text_steps(batches):
             buf, offs = utf8(b.column("text"))
-            h, d, first, size = anchors(buf, offs)
-            lists = [np.concatenate([np.frombuffer(x, np.uint64) for x in xs]) if xs else np.zeros(0, np.uint64)
-                     for xs in b.column("hashes").to_pylist()]
+            h, d, first, size, place = anchors(buf, offs)
+            lists = [_keys(b"".join(xs)) for xs in b.column("hashes").to_pylist()]
             known = np.concatenate([mix(x + mix(np.array([i], np.uint64))) for i, x in enumerate(lists)])
             ok = np.isin(mix(h + mix(d.astype(np.uint64))), known)
-            h, d, first, size = h[ok], d[ok], first[ok], size[ok]
+            h, d, first, size, place = h[ok], d[ok], first[ok], size[ok], place[ok]
             if not len(h):
                 continue
             # Neighbouring segments share their bytes: regions are maximal runs of starts.
@@ -259,7 +390,7 @@ def covered_starts(suspects: DataFrame, parts: int) -> DataFrame:
             r_at = np.cumsum(r_end - r_first) - (r_end - r_first)
             text.append(buf[_spread(r_first, r_end - r_first)])
             region = np.cumsum(begin) - 1
-            segs.append((h, b.column("doc_id").to_numpy()[d], first - offs[d], size,
+            segs.append((h, b.column("doc_id").to_numpy()[d], first - offs[d], size, place,
                          r_at[region] + first - r_first[region] + held))
             held += len(text[-1])
             if held > FLUSH:
@@ -277,26 +408,31 @@ def covered_starts(suspects: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([told.column("doc_id"), told.column("a")], ["doc_id", "starts"])
             for a, t in zip(b.column("a"), b.column("b")):
                 if t.is_valid:
-                    rows.append(np.frombuffer(a.as_buffer(), np.int64).reshape(-1, 4))
+                    a = reader.decompress(a.as_buffer())
+                    n = len(a) // 18
+                    doc, first = (_sums(_numbers(x)) for x in (a[:8 * n], a[8 * n:16 * n]))
+                    shape = _numbers(a[16 * n:], 2).astype(np.int64)
+                    rows.append(np.column_stack([shape & 255, doc, first, shape >> 8]))
                     texts.append(np.frombuffer(reader.decompress(t.as_buffer()), np.uint8))
         if not rows:
             return
         rows, buf = np.concatenate(rows), np.concatenate(texts)
         size = rows[:, 3] + LENGTH - 1
         at = np.cumsum(size) - size
-        order = np.argsort(rows[:, 0].view(np.uint64), kind="stable")
-        rows, size, at = rows[order], size[order], at[order]
-        cut = _split(rows[:, 0])
+        anchor = _grams(buf, at + rows[:, 0])
+        order = np.argsort(anchor, kind="stable")
+        rows, size, at, anchor = rows[order], size[order], at[order], anchor[order]
+        cut = _split(anchor)
+        ends = np.cumsum(size)
         lo = 0
-        for hi in cut[1:]:  # whole anchors, about FLUSH bytes at a time
-            if size[lo:hi].sum() < FLUSH and hi < len(rows):
-                continue
-            part, n = rows[lo:hi], rows[lo:hi, 3]
+        while lo < len(rows):  # whole anchors, about FLUSH bytes at a time
+            full = np.searchsorted(ends, ends[lo] - size[lo] + FLUSH)
+            hi = cut[min(np.searchsorted(cut, full, "right"), len(cut) - 1)]
+            place, doc, first, n = rows[lo:hi].T.copy()
             local_at = np.cumsum(size[lo:hi]) - size[lo:hi]
-            doc = np.repeat(part[:, 1], n)
-            hit = earlier(buf[_spread(at[lo:hi], size[lo:hi])], _spread(local_at, n), doc)
+            hit = matched(buf[_spread(at[lo:hi], size[lo:hi])], anchor[lo:hi], local_at, doc, n, place)
             if hit.any():
-                out = _found(doc[hit], _spread(part[:, 2], n)[hit])
+                out = _found(hit, doc, first, n)
                 yield pa.RecordBatch.from_arrays([out.column("doc_id"), out.column("a")], ["doc_id", "starts"])
             lo = hi
 
@@ -305,28 +441,43 @@ def covered_starts(suspects: DataFrame, parts: int) -> DataFrame:
         .mapInArrow(meet, "doc_id long, starts binary")
 
 
-def cut(text: bytes, starts: np.ndarray) -> tuple[bytes, int, int]:
-    """The bytes that stay, how many went and in how many runs."""
+def cut(text: bytes, runs_: np.ndarray) -> tuple[bytes, int, int]:
+    """The bytes that stay, how many went and in how many runs; ``runs_`` are rows of
+    first start and number of starts."""
     gone = np.zeros(len(text) + 1, np.int32)
-    starts = np.unique(starts)
-    starts = starts[starts + LENGTH <= len(text)]
-    np.add.at(gone, starts, 1)
-    np.add.at(gone, starts + LENGTH, -1)
+    first = runs_[:, 0]
+    n = np.minimum(runs_[:, 1], len(text) - LENGTH + 1 - first)
+    first, n = first[n > 0], n[n > 0]
+    np.add.at(gone, first, 1)
+    np.add.at(gone, first + n + LENGTH - 1, -1)
     out = np.cumsum(gone[:-1]) > 0
     runs = int(out[:1].sum() + (out[1:] & ~out[:-1]).sum())
     return np.frombuffer(text, np.uint8)[~out].tobytes(), int(out.sum()), runs
 
 
+def bucketed(df: DataFrame, parts: int) -> DataFrame:
+    """``df`` as written to the shared folder, bucketed by key: joins by key find it
+    dealt.  The files outlive the name, which only this call needs."""
+    spark = df.sparkSession
+    name = f"suspects_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, "doc_id").option("path", scratch_path(spark, "suspects")) \
+        .option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` per row; ``kept`` holds the bytes that stay."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = pick(docs)
-    lists = shared_anchors(docs.where(F.col("doc_id").isNotNull()), parts) \
-        .groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    keyed = docs.where(F.col("doc_id").isNotNull())
+    lists = shared_anchors(keyed, parts).groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
     some = F.col("hashes").isNotNull()
-    seen = materialize(docs.hint("merge").join(lists, "doc_id", "left"), "suspects")
-    suspects, clean = seen.where(some), seen.where(~some)
+    seen = bucketed(keyed.hint("merge").join(lists, "doc_id", "left"), parts)
+    suspects = seen.where(some)
+    clean = seen.where(~some).select("doc_id", "text").unionByName(docs.where(F.col("doc_id").isNull()))
     starts = covered_starts(suspects, parts).groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
     starts = materialize(starts, "starts")
 
@@ -335,7 +486,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             rows = []
             for t, xs in zip(b.column("text"), b.column("starts").to_pylist()):
                 text = t.as_buffer().to_pybytes() if len(t.as_buffer() or b"") else b""
-                at = np.concatenate([np.frombuffer(x, np.int64) for x in xs]) if xs else np.zeros(0, np.int64)
+                at = np.frombuffer(b"".join(xs or ()), np.uint32).reshape(-1, 2).astype(np.int64)
                 kept, gone, spans_ = cut(text, at)
                 rows.append((len(text), gone, spans_, hashlib.sha256(kept).hexdigest(), kept))
             n, gone, spans_, sha, kept = zip(*rows)

@@ -61,3 +61,38 @@ def test_planted(spark, monkeypatch):
 def test_odd_rows(spark, odd, empty):
     assert got(rp.remove_repeats(odd)) == brute([(r.doc_id, r.text) for r in odd.collect()])
     assert rp.remove_repeats(empty).count() == 0
+
+
+def test_factor_arrays():
+    """Suffix order, common prefixes and longest previous factors against plain loops."""
+    rnd = random.Random(5)
+    for letters, n in (("ab", 400), ("abcdefgh ", 900), ("a", 130)):
+        texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(50, n))) for _ in range(6)]
+        texts += [texts[0][7:] + "x" * 60, "x" * 90 + texts[1][-60:]]
+        keys = [5, 3, 3, 9, 1, 7, -2, 4]
+        data = "".join(texts).encode()
+        starts, doc, base = [], [], 0
+        for k, t in zip(keys, texts):
+            starts += range(base, base + len(t) - rp.LENGTH + 1)
+            doc += [k] * (len(t) - rp.LENGTH + 1)
+            base += len(t)
+        buf, starts, doc = np.frombuffer(data, np.uint8), np.array(starts), np.array(doc)
+        order, lcp = rp.suffix_order(buf, starts, doc)
+        strings = [data[s:s + rp.LENGTH] for s in starts]
+        assert [(strings[i], doc[i]) for i in order] == sorted(zip(strings, doc))
+        agree = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), rp.LENGTH)
+        assert lcp.tolist()[1:] == [agree(strings[i], strings[j]) for i, j in zip(order, order[1:])]
+        first = {}
+        for s, d in zip(strings, doc):
+            first[s] = min(first.get(s, d), d)
+        want = [first[s] < d for s, d in zip(strings, doc)]
+        assert (rp.previous_factor(doc[order], lcp) >= rp.LENGTH).tolist() == [want[i] for i in order]
+        assert rp.earlier(buf, starts, doc).tolist() == want
+
+
+def test_packed_numbers():
+    x = np.array([-5, 3, 3, 2 ** 62, -(2 ** 63), 2 ** 63 - 1])
+    assert (rp._sums(rp._numbers(rp._planes(rp._steps(x)))) == x).all()
+    h = np.array([0, 1, 2 ** 48 - 1], np.uint64)
+    assert (rp._numbers(rp._planes(h, rp.KEY), rp.KEY) == h).all()
+    assert (rp._keys(rp._planes(h[1:2], rp.KEY) * 2) == 1).all()
