@@ -7,7 +7,8 @@ and are judged on the input.
 1. Every string of ``LENGTH`` bytes has an anchor: the leftmost of its ``K``-byte grams
    with the smallest hash.  Equal strings have equal anchors, so only strings whose
    anchor occurs in two documents need a comparison.  Tasks send one entry per anchor
-   (48 bits of its hash; a chance agreement costs a comparison and changes nothing) and
+   (40 bits of its hash, the owning task goes by the others; a chance agreement costs a
+   comparison and changes nothing) and
    tell at once which of their own documents share it, so an anchor that a third of
    all documents hold costs one entry per task.
 2. The texts and their shared anchors are written once, bucketed by key, so that they
@@ -47,8 +48,13 @@ K = 24
 WINDOW = LENGTH - K + 1
 #: Entries or bytes after which a task compares what it has gathered.
 FLUSH = 3 << 20
-#: Bytes of an anchor's hash that travel.
-KEY = 6
+#: Bytes of an anchor's hash that travel; the bits above them choose the owner.
+KEY = 5
+LOW = np.uint64((1 << 8 * KEY) - 1)
+
+
+def _owner(key: np.ndarray, parts: int) -> np.ndarray:
+    return (key >> np.uint64(8 * KEY)) % np.uint64(parts)
 
 
 def _planes(values: np.ndarray, width: int = 8) -> bytes:
@@ -86,7 +92,7 @@ def _leftmost_minima(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray):
-    """Segments of window starts with one anchor: its hash (``KEY`` bytes), the text, the
+    """Segments of window starts with one anchor: its hash, the text, the
     first start (in ``buf``), the number of starts and the anchor's place from the first."""
     empty = np.zeros(0, np.int64)
     if len(buf) < LENGTH:
@@ -103,7 +109,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray):
     first = np.flatnonzero(new)
     size = np.add.reduceat(valid, first) if len(first) else empty
     # A segment ends where the next begins or where windows stop being valid.
-    key = h[anchor[first]] >> np.uint64(64 - 8 * KEY)
+    key = mix(h[anchor[first]])  # the smallest of many hashes has few high bits
     return key, doc[first], first, size.astype(np.int64), anchor[first] - first
 
 
@@ -151,8 +157,8 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
                 yield _by_doc(h[many], doc[many], parts)
             first = _split(h)[:-1]
             h, doc = h[first], doc[first]
-            owner = h % np.uint64(parts)
-            order = np.argsort(owner, kind="stable")
+            owner = _owner(h, parts)
+            order = np.lexsort((h & LOW, owner))
             h, doc, owner = h[order], doc[order], owner[order]
             cut = _split(owner)
             packed = []
@@ -282,10 +288,9 @@ def _keys(data: bytes) -> np.ndarray:
 
 def _grams(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One number for the ``K`` bytes at each position."""
-    words = buf[at[:, None] + np.arange(K)].view(np.uint64)
     out = np.zeros(len(at), np.uint64)
-    for j in range(K // 8):
-        out = mix(out + words[:, j])
+    for j in (*range(0, K - 8, 8), K - 8):
+        out = mix(out + buf[(at + j)[:, None] + np.arange(8)].view(np.uint64)[:, 0])
     return out
 
 
@@ -363,10 +368,10 @@ def covered_starts(suspects: DataFrame, parts: int) -> DataFrame:
             cut = np.cumsum(size) - size
             open_ = np.add.reduceat(~hit, cut) > 0
             h, doc, first, size, place, region_at = (x[open_] for x in (h, doc, first, size, place, region_at))
-            owner = h % np.uint64(parts)
+            owner = _owner(h, parts)
             for p in np.unique(owner):
                 mine = np.flatnonzero(owner == p)
-                rows = _planes(_steps(doc[mine])) + _planes(_steps(first[mine])) + _planes(size[mine] << 8 | place[mine], 2)
+                rows = _planes(_steps(doc[mine])) + _planes(first[mine]) + _planes(size[mine] << 8 | place[mine], 2)
                 parts_of = buf[_spread(region_at[mine], size[mine] + LENGTH - 1)]
                 yield pa.RecordBatch.from_arrays(
                     [longs([p]), pa.array([None], pa.int64()), pa.array([packer.compress(rows)], pa.binary()),
@@ -378,7 +383,7 @@ def covered_starts(suspects: DataFrame, parts: int) -> DataFrame:
             h, d, first, size, place = anchors(buf, offs)
             lists = [_keys(b"".join(xs)) for xs in b.column("hashes").to_pylist()]
             known = np.concatenate([mix(x + mix(np.array([i], np.uint64))) for i, x in enumerate(lists)])
-            ok = np.isin(mix(h + mix(d.astype(np.uint64))), known)
+            ok = np.isin(mix((h & LOW) + mix(d.astype(np.uint64))), known)
             h, d, first, size, place = h[ok], d[ok], first[ok], size[ok], place[ok]
             if not len(h):
                 continue
@@ -410,7 +415,7 @@ def covered_starts(suspects: DataFrame, parts: int) -> DataFrame:
                 if t.is_valid:
                     a = reader.decompress(a.as_buffer())
                     n = len(a) // 18
-                    doc, first = (_sums(_numbers(x)) for x in (a[:8 * n], a[8 * n:16 * n]))
+                    doc, first = _sums(_numbers(a[:8 * n])), _numbers(a[8 * n:16 * n]).view(np.int64)
                     shape = _numbers(a[16 * n:], 2).astype(np.int64)
                     rows.append(np.column_stack([shape & 255, doc, first, shape >> 8]))
                     texts.append(np.frombuffer(reader.decompress(t.as_buffer()), np.uint8))

@@ -93,6 +93,6 @@ def test_factor_arrays():
 def test_packed_numbers():
     x = np.array([-5, 3, 3, 2 ** 62, -(2 ** 63), 2 ** 63 - 1])
     assert (rp._sums(rp._numbers(rp._planes(rp._steps(x)))) == x).all()
-    h = np.array([0, 1, 2 ** 48 - 1], np.uint64)
+    h = np.array([0, 1, 2 ** (8 * rp.KEY) - 1], np.uint64)
     assert (rp._numbers(rp._planes(h, rp.KEY), rp.KEY) == h).all()
     assert (rp._keys(rp._planes(h[1:2], rp.KEY) * 2) == 1).all()
