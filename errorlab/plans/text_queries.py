@@ -50,7 +50,7 @@ def t4(fx):
 
 @register("T5_top_terms", with_fixtures("SELECT term, term_id, freq FROM vocab", "vocab"))
 def t5(fx):
-    return fx.vocab()
+    return T.top_terms(T.prune_rare(T.term_freq(fx.words()), P.min_freq), P.max_features)
 
 
 @register("T6_positions", with_fixtures("SELECT * FROM positions", "positions"))
