@@ -38,10 +38,20 @@ def corpus_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
 # S2 ------------------------------------------------------------------------
 def bulk_tokenize(spark: SparkSession, path: str, out: str) -> None:
     """Tokenise many sentence files, a line at a time (no file is held whole); one output
-    partition per input file, a row per token with its place in the line."""
+    partition per input file, a row per token with its place in the line.
+
+    Rows arrive file by file, so each task keeps writers open instead of sorting all its
+    tokens by their file's name (with more files than writers, Spark sorts the rest)."""
     tokens = spark.read.option("recursiveFileLookup", "true").text(path) \
-        .select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(token_array(F.col("value"))).alias("pos", "token"))
-    tokens.write.mode("overwrite").partitionBy("source_file").parquet(out)
+        .select(F.col("_metadata.file_path").alias("source_file"), F.posexplode_outer(token_array(F.col("value"))).alias("pos", "token")) \
+        .filter(F.col("token").isNotNull())
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers)
+    spark.conf.set(writers, "32")
+    try:
+        tokens.write.mode("overwrite").partitionBy("source_file").parquet(out)
+    finally:
+        spark.conf.set(writers, before)
 
 
 def _int_array(df: DataFrame, c: str):
