@@ -21,10 +21,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 MILLION = 1_000_000
+#: Counts up to which a model is sent to the tasks, and scores that a task holds at once.
+SMALL, CELLS = 8_000_000, 1 << 22
 #: The key of a single model.
 ONE = "_model"
 
@@ -38,6 +43,76 @@ def _shift() -> Column:
     return F.lit(10 ** 12).cast("decimal(13,0)")
 
 
+def _answer(labels, bases, starts, posts, weights, found, sizes, row_ends):
+    """Best label of each row.  ``bases``: (prior, per feature) of every class; the postings of
+    feature ``f`` are ``posts[starts[f]:starts[f + 1]]`` (class numbers); ``found``: the rows'
+    features, -1 for unknown ones.  Whole numbers below 2^53 throughout, so sums are exact."""
+    out, k = np.empty(len(sizes), np.int64), len(labels)
+    step = max(1, CELLS // k)
+    for a in range(0, len(sizes), step):
+        z = min(a + step, len(sizes))
+        rows = np.repeat(np.arange(z - a), row_ends[a + 1:z + 1] - row_ends[a:z])
+        f = found[row_ends[a]:row_ends[z]]
+        rows, f = rows[f >= 0], f[f >= 0]
+        many = starts[f + 1] - starts[f]
+        at = np.repeat(starts[f] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+        cell = np.repeat(rows, many) * k + posts[at]
+        sums = np.bincount(cell, weights[at], (z - a) * k).astype(np.int64).reshape(z - a, k)
+        sums += bases[0] + sizes[a:z, None] * bases[1]
+        out[a:z] = labels[np.argmax(sums, 1)]  # the first of equal ones, the smallest label
+    return out
+
+
+def _predict_in_tasks(by, rows: DataFrame, carried, posts: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """``predict`` with the model in every task: each row is scored where it is, no shuffle."""
+    models = {}
+    for r in classes.orderBy(*by, "label").toPandas().groupby(by, dropna=False):
+        t = r[1]
+        models[tuple(r[0])] = {"labels": t["label"].to_numpy(np.int64),
+                               "bases": [(t[f"_p{i}"].to_numpy(np.int64), t[f"_u{i}"].to_numpy(np.int64)) for i in range(n)]}
+    for r in posts.orderBy(*by, "feature").toPandas().groupby(by, dropna=False):
+        t, m = r[1], models[tuple(r[0])]
+        numbers, names = t["feature"].factorize()
+        order = np.argsort(numbers, kind="stable")
+        m |= {"names": pa.array(names, pa.string()), "starts": np.concatenate(([0], np.cumsum(np.bincount(numbers)))),
+              "posts": np.searchsorted(m["labels"], t["label"].to_numpy(np.int64)[order]).astype(np.int32),
+              "weights": [t[f"_w{i}"].to_numpy(float)[order] for i in range(n)]}
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+    answers = [f"prediction_{i}" for i in range(n)]
+    out = rows.select(*carried, *by, "_f")
+    schema = StructType(out.schema.fields[:-1] + [StructField(a, LongType()) for a in answers])
+
+    def step(batches):
+        import pyarrow.compute as pc
+
+        for b in batches:
+            feats, keys = b.column(b.num_columns - 1), [b.column(b.num_columns - 1 - len(by) + i) for i in range(len(by))]
+            groups = {}
+            for i, key in enumerate(zip(*(c.to_pylist() for c in keys))):
+                groups.setdefault(key, []).append(i)
+            told = [np.zeros(b.num_rows, np.int64) for _ in answers]
+            known = np.zeros(b.num_rows, bool)
+            for key, places in groups.items():
+                m = shared.value.get(key)
+                if m is None:
+                    continue
+                mine = feats.take(pa.array(places))
+                sizes = pc.fill_null(pc.list_value_length(mine), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = mine.flatten()
+                if "names" in m:
+                    found = pc.fill_null(pc.index_in(flat, value_set=m["names"], skip_nulls=True), -1).to_numpy(zero_copy_only=False)
+                    post = (m["starts"], m["posts"], m["weights"])
+                else:
+                    found, post = np.full(len(flat), -1), (np.zeros(1, int), np.zeros(0, int), [np.zeros(0)] * n)
+                ends = np.concatenate(([0], np.cumsum(np.maximum(sizes, 0))))
+                known[places] = sizes >= 0
+                for i in range(n):
+                    told[i][places] = _answer(m["labels"], m["bases"][i], post[0], post[1], post[2][i], found, sizes, ends)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(t, pa.int64(), mask=~known) for t in told]], schema.names)
+
+    return out.mapInArrow(step, schema)
+
+
 @dataclass
 class NaiveBayes:
     """``counts``: (by..., feature, label, n); ``classes``: (by..., label, docs, total,
@@ -75,14 +150,16 @@ def fit(rows: DataFrame, label: str, features: str, by: Sequence[str] = (), weig
     return NaiveBayes(counts, classes, tuple(by))
 
 
-def predict(model: NaiveBayes, rows: DataFrame, key: str, features: str, alphas: Sequence[float] = (1.0,)) -> DataFrame:
-    """``(by..., key, prediction_0, prediction_1, ...)``: the most probable class of each
-    distinct ``key`` under each smoothing constant.  ``rows`` must hold one row per key
-    (and model); a row without features gets the most frequent class."""
+def predict(model: NaiveBayes, rows: DataFrame, key: str, features: str, alphas: Sequence[float] = (1.0,),
+            carry: Sequence[str] = ()) -> DataFrame:
+    """``(by..., key, carry..., prediction_0, prediction_1, ...)``: the most probable class of
+    each distinct ``key`` under each smoothing constant.  ``rows`` must hold one row per key
+    (and model); a row without features gets the most frequent class.  A model of at most
+    ``SMALL`` counts goes to the tasks, a larger one is joined."""
     by, ks = list(model.by), range(len(alphas))
     if by == [ONE]:
         rows = rows.withColumn(ONE, F.lit(0))
-    rows = rows.select(*by, F.col(key).alias("_k"), F.col(features).alias("_f")).withColumn("_size", F.size("_f"))
+    rows = rows.select(*by, F.col(key).alias("_k"), F.col(features).alias("_f"), *carry).withColumn("_size", F.size("_f"))
     if by == [ONE]:
         classes = model.classes.withColumn("features", F.lit(model.counts.select("feature").distinct().count()))
     else:
@@ -97,6 +174,12 @@ def predict(model: NaiveBayes, rows: DataFrame, key: str, features: str, alphas:
         s = F.col(f"_p{i}") + size * F.col(f"_u{i}") + found
         return s.cast("decimal(25,0)") * _shift() - F.col("label").cast("decimal(13,0)")
 
+    posts = model.counts.select(*by, "feature", "label", *[_log(1 + F.col("n") / F.lit(float(a))).alias(f"_w{i}")
+                                                           for i, a in enumerate(alphas)])
+    if dict(posts.dtypes)["feature"] == "string" and model.counts.limit(SMALL + 1).count() <= SMALL:
+        told = _predict_in_tasks(by, rows, ["_k", *carry], posts, classes, len(ks))
+        return told.select(*[b for b in by if b != ONE], F.col("_k").alias(key), *carry, *[f"prediction_{i}" for i in ks])
+
     # What a class gets without any shared feature, for every size up to the largest.
     widest = rows.agg(F.max("_size")).first()[0] or 0
     least = classes.withColumn("_size", F.explode(F.sequence(F.lit(0), F.lit(max(widest, 0))))) \
@@ -104,14 +187,12 @@ def predict(model: NaiveBayes, rows: DataFrame, key: str, features: str, alphas:
     # The sum over shared features.
     own = rows.select(*by, "_k", "_size", F.explode_outer("_f").alias("feature")).filter(F.col("feature").isNotNull()) \
         .groupBy(*by, "_k", "_size", "feature").agg(F.count(F.lit(1)).alias("_tf"))
-    posts = model.counts.select(*by, "feature", "label", *[_log(1 + F.col("n") / F.lit(float(a))).alias(f"_w{i}")
-                                                           for i, a in enumerate(alphas)])
     sums = own.join(posts, [*by, "feature"]).groupBy(*by, "_k", "_size", "label") \
         .agg(*[F.sum(F.col("_tf") * F.col(f"_w{i}")).alias(f"_s{i}") for i in ks])
     best = sums.join(classes, [*by, "label"]).groupBy(*by, "_k") \
         .agg(*[F.max(score(i, F.col("_size"), F.col(f"_s{i}"))).alias(f"_b{i}") for i in ks])
     out = rows.drop("_f").join(best, [*by, "_k"], "left").join(least, [*by, "_size"], "left")
-    return out.select(*[b for b in by if b != ONE], F.col("_k").alias(key), *[
+    return out.select(*[b for b in by if b != ONE], F.col("_k").alias(key), *carry, *[
         F.pmod(-F.greatest(f"_b{i}", f"_d{i}"), _shift()).cast("long").alias(f"prediction_{i}") for i in ks])
 
 
