@@ -24,6 +24,10 @@ and are judged on the input.
    regions there.
 4. The starts found meet the documents' texts in their buckets.
 
+What an owner finds, shared anchors and starts, goes back packed, one row per bucket of
+documents, and becomes one row per document there: a document whose anchors many tasks
+own costs one row, not one per owner.
+
 Keys order the documents: rows without a key, or with equal keys, never clear each
 other, and a row without a key loses nothing.  Rows that repeat a key share what was found for it, each
 cut by its own length.  Texts under ``LENGTH`` bytes lose nothing.  An empty table gives no rows.
@@ -51,6 +55,9 @@ FLUSH = 3 << 20
 #: Bytes of an anchor's hash that travel; the bits above them choose the owner.
 KEY = 5
 LOW = np.uint64((1 << 8 * KEY) - 1)
+PACKED = "bucket long, docs binary, found binary"
+#: Bytes of a run of starts: the first one and their number.
+RUN = 8
 
 
 def _owner(key: np.ndarray, parts: int) -> np.ndarray:
@@ -144,8 +151,51 @@ def _by_doc(h: np.ndarray, doc: np.ndarray, parts: int) -> pa.RecordBatch:
         ["bucket", "doc_id", "hashes", "docs", "places"])
 
 
+def _packed(doc: np.ndarray, values: np.ndarray, parts: int) -> pa.RecordBatch:
+    """``bucket, docs, found``: the documents of a bucket in order and a row of bytes for
+    each, in one row per bucket."""
+    packer = zstandard.ZstdCompressor(level=1)
+    bucket = mix(doc.view(np.uint64)) % np.uint64(parts)
+    order = np.lexsort((doc, bucket))
+    bucket, doc, values = bucket[order], doc[order], values[order]
+    cut = _split(bucket)
+    return pa.RecordBatch.from_arrays(
+        [longs(bucket[cut[:-1]]),
+         pa.array([packer.compress(_planes(_steps(doc[i:j]))) for i, j in zip(cut, cut[1:])], pa.binary()),
+         pa.array([values[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], ["bucket", "docs", "found"])
+
+
+def _expand(keys: pa.Array, data: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and ``width`` bytes each, from rows of a key and the bytes of all that it has."""
+    values = np.frombuffer(b"".join(data.to_pylist()), np.uint8).reshape(-1, width)
+    size = np.diff(utf8(data)[1]) // width
+    return np.repeat(keys.to_numpy(), size), values
+
+
+def by_document(packed: DataFrame, parts: int, name: str, width: int) -> DataFrame:
+    """``doc_id, <name>``: one row per document with all that any task found for it."""
+
+    def unpack(batches):
+        reader = zstandard.ZstdDecompressor()
+        docs, found = [], []
+        for b in batches:
+            for d, x in zip(b.column("docs"), b.column("found")):
+                docs.append(_sums(_numbers(reader.decompress(d.as_buffer()))))
+                found.append(np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, width))
+        if docs:
+            doc, found = np.concatenate(docs), np.concatenate(found)
+            order = np.argsort(doc, kind="stable")
+            doc, data = doc[order], found[order].tobytes()
+            cut = _split(doc)
+            yield pa.RecordBatch.from_arrays(
+                [longs(doc[cut[:-1]]), pa.array([data[width * i:width * j] for i, j in zip(cut, cut[1:])], pa.binary())],
+                ["doc_id", name])
+
+    return packed.repartition(parts, "bucket").mapInArrow(unpack, f"doc_id long, {name} binary")
+
+
 def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
-    """``doc_id, hashes``: anchors that the document shares with another one."""
+    """``doc_id, hashes``: anchors that the document shares with another one, in one row."""
 
     def count(batches):
         packer = zstandard.ZstdCompressor(level=1)
@@ -185,11 +235,13 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
 
     def meet(batches):
         reader = zstandard.ZstdDecompressor()
-        hs, ds = [], []
+        hs, ds, docs, found = [], [], [], []
         for b in batches:
             told = b.filter(pa.array(~np.array(b.column("doc_id").is_null())))
             if told.num_rows:
-                yield told.select(["doc_id", "hashes"])
+                doc, data = _expand(told.column("doc_id"), told.column("hashes"), KEY)
+                docs.append(doc)
+                found.append(data)
             for row in zip(b.column("hashes"), b.column("docs"), b.column("places")):
                 if row[1].is_valid:
                     h, known, place = (reader.decompress(x.as_buffer()) for x in row)
@@ -197,11 +249,14 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
                     ds.append(_sums(_numbers(known))[_numbers(place, 4).astype(np.int64)])
         if hs:
             h, doc, many = _shared(np.concatenate(hs), np.concatenate(ds))
-            if many.any():
-                yield _by_doc(h[many], doc[many], parts).select(["doc_id", "hashes"])
+            docs.append(doc[many])
+            found.append(np.ascontiguousarray(h[many]).view(np.uint8).reshape(-1, 8)[:, :KEY])
+        if sum(map(len, docs)):
+            yield _packed(np.concatenate(docs), np.concatenate(found), parts)
 
     schema = "bucket long, doc_id long, hashes binary, docs binary, places binary"
-    return docs.mapInArrow(count, schema).repartition(parts, "bucket").mapInArrow(meet, "doc_id long, hashes binary")
+    packed = docs.mapInArrow(count, schema).repartition(parts, "bucket").mapInArrow(meet, PACKED)
+    return by_document(packed, parts, "hashes", KEY)
 
 
 def suffix_order(buf: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -354,7 +409,8 @@ def _found(hit: np.ndarray, doc: np.ndarray, first: np.ndarray, size: np.ndarray
 
 
 def covered_starts(suspects: DataFrame, parts: int) -> DataFrame:
-    """``doc_id, starts``: window starts with an earlier match, as runs of neighbours."""
+    """``doc_id, starts``: window starts with an earlier match, as runs of neighbours, in
+    one row per document."""
 
     def local(batches):
         segs, text, held = [], [], 0
@@ -381,7 +437,7 @@ def covered_starts(suspects: DataFrame, parts: int) -> DataFrame:
         for b in text_steps(batches):
             buf, offs = utf8(b.column("text"))
             h, d, first, size, place = anchors(buf, offs)
-            lists = [_keys(b"".join(xs)) for xs in b.column("hashes").to_pylist()]
+            lists = [_keys(xs) for xs in b.column("hashes").to_pylist()]
             known = np.concatenate([mix(x + mix(np.array([i], np.uint64))) for i, x in enumerate(lists)])
             ok = np.isin(mix((h & LOW) + mix(d.astype(np.uint64))), known)
             h, d, first, size, place = h[ok], d[ok], first[ok], size[ok], place[ok]
@@ -405,12 +461,22 @@ def covered_starts(suspects: DataFrame, parts: int) -> DataFrame:
             yield from flush()
 
     def meet(batches):
+        docs, found = [], []
+        for told in compare(batches):
+            doc, runs = _expand(told.column("doc_id"), told.column("a"), RUN)
+            docs.append(doc)
+            found.append(runs)
+        if sum(map(len, docs)):
+            yield _packed(np.concatenate(docs), np.concatenate(found), parts)
+
+    def compare(batches):
+        """Rows ``doc_id, a`` of what was found before and of what is found here."""
         reader = zstandard.ZstdDecompressor()
         rows, texts = [], []
         for b in batches:
             told = b.filter(pa.array(np.array(b.column("bucket").is_null())))
             if told.num_rows:
-                yield pa.RecordBatch.from_arrays([told.column("doc_id"), told.column("a")], ["doc_id", "starts"])
+                yield told
             for a, t in zip(b.column("a"), b.column("b")):
                 if t.is_valid:
                     a = reader.decompress(a.as_buffer())
@@ -437,13 +503,13 @@ def covered_starts(suspects: DataFrame, parts: int) -> DataFrame:
             local_at = np.cumsum(size[lo:hi]) - size[lo:hi]
             hit = matched(buf[_spread(at[lo:hi], size[lo:hi])], anchor[lo:hi], local_at, doc, n, place)
             if hit.any():
-                out = _found(hit, doc, first, n)
-                yield pa.RecordBatch.from_arrays([out.column("doc_id"), out.column("a")], ["doc_id", "starts"])
+                yield _found(hit, doc, first, n)
             lo = hi
 
-    return suspects.mapInArrow(local, "bucket long, doc_id long, a binary, b binary") \
+    packed = suspects.mapInArrow(local, "bucket long, doc_id long, a binary, b binary") \
         .repartition(parts, F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))) \
-        .mapInArrow(meet, "doc_id long, starts binary")
+        .mapInArrow(meet, PACKED)
+    return by_document(packed, parts, "starts", RUN)
 
 
 def cut(text: bytes, runs_: np.ndarray) -> tuple[bytes, int, int]:
@@ -478,20 +544,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = pick(docs)
     keyed = docs.where(F.col("doc_id").isNotNull())
-    lists = shared_anchors(keyed, parts).groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    lists = shared_anchors(keyed, parts)
     some = F.col("hashes").isNotNull()
     seen = bucketed(keyed.hint("merge").join(lists, "doc_id", "left"), parts)
     suspects = seen.where(some)
     clean = seen.where(~some).select("doc_id", "text").unionByName(docs.where(F.col("doc_id").isNull()))
-    starts = covered_starts(suspects, parts).groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
-    starts = materialize(starts, "starts")
+    starts = materialize(covered_starts(suspects, parts), "starts")
 
     def apply(batches):
         for b in text_steps(batches):
             rows = []
             for t, xs in zip(b.column("text"), b.column("starts").to_pylist()):
                 text = t.as_buffer().to_pybytes() if len(t.as_buffer() or b"") else b""
-                at = np.frombuffer(b"".join(xs or ()), np.uint32).reshape(-1, 2).astype(np.int64)
+                at = np.frombuffer(xs or b"", np.uint32).reshape(-1, 2).astype(np.int64)
                 kept, gone, spans_ = cut(text, at)
                 rows.append((len(text), gone, spans_, hashlib.sha256(kept).hexdigest(), kept))
             n, gone, spans_, sha, kept = zip(*rows)

@@ -96,3 +96,24 @@ def test_packed_numbers():
     h = np.array([0, 1, 2 ** (8 * rp.KEY) - 1], np.uint64)
     assert (rp._numbers(rp._planes(h, rp.KEY), rp.KEY) == h).all()
     assert (rp._keys(rp._planes(h[1:2], rp.KEY) * 2) == 1).all()
+
+
+def test_one_row_per_document(spark):
+    """However many tasks own a document's anchors, what they found comes back packed."""
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(2000)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, texts[i % 20]) for i in range(60)], "doc_id long, text string").repartition(6)
+    lists = rp.shared_anchors(docs, 16).collect()
+    assert sorted(r.doc_id for r in lists) == list(range(60))
+    known = {r.doc_id: set(rp._keys(r.hashes).tolist()) for r in lists}
+    assert all(known[i] == known[i % 20] and len(known[i]) > 16 for i in range(60))
+    starts = rp.covered_starts(docs.join(spark.createDataFrame(lists), "doc_id"), 16).collect()
+    assert sorted(r.doc_id for r in starts) == list(range(20, 60))
+
+
+def test_packed_rows():
+    doc = np.array([7, -3, 7, 2 ** 62, -3, 5])
+    values = np.arange(12, dtype=np.uint8).reshape(6, 2)
+    rows = rp._packed(doc, values, 3)
+    assert rows.num_rows <= 3 and rows.column("bucket").to_pylist() == sorted(set(rows.column("bucket").to_pylist()))
+    assert len(b"".join(rows.column("found").to_pylist())) == 12
