@@ -19,9 +19,10 @@ An empty table gives files without blocks.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import sys
-import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ END_ID = 2
 DICTIONARY_BYTES = 64 << 10
 BLOCK_BYTES = 1 << 20
 CACHE_PIECES = 300_000
+LINES = 1000
 
 BLOCKS = ("part long, block long, first_id long, last_id long, doc_ids array<long>, offsets array<long>, "
           "n_tokens array<long>, payload binary, dictionary_sha256 string")
@@ -45,50 +47,92 @@ class Encoder:
     """A tokenizer that encodes each distinct piece of text between blanks once.
 
     Byte-level splitting never joins a blank that follows a non-space with what stands
-    before it, so a text without a blank between two spaces may be cut before every
-    blank, and the pieces' ids be joined.  Other texts are encoded in one go.  Letters
-    and the marks behind them never join either, so a new piece that ends in marks is
-    made of two smaller ones.
+    before it, and a line end between two non-spaces stands alone.  So a text in which no
+    two spaces meet may be cut before every blank and around every line end, one without
+    a blank between two spaces before every blank, and the pieces' ids be joined.  Other
+    texts, those that hold an added token, and all texts of other kinds of tokenizers are
+    encoded in one go.  Letters and the marks behind them never join either, so a new
+    piece that ends in marks is made of two smaller ones.
+
+    The library gets new pieces many at a time, as lines of one text; the ids of the line
+    ends tell them apart.  Two generations of pieces are kept, of half the bound each:
+    what is in use goes on from the old one to the young one.
     """
 
-    _between_spaces = re.compile(r"\s \s")
+    _between_spaces = re.compile(r"\s \s").search
+    _two_spaces = re.compile(r"\s\s").search
     _marked = re.compile(r"( ?[^\W\d_]+)([.,;:!?%&*$#]+)").fullmatch
+    _line = re.compile(r" ?\S+").fullmatch
 
     def __init__(self, definition: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line_end = self._whole(["\n"])[0]
+        kind = self.tokenizer.pre_tokenizer
+        self.cuts = isinstance(kind, pre_tokenizers.ByteLevel) and kind.use_regex and not kind.add_prefix_space \
+            and self.tokenizer.normalizer is None and len(self.line_end) == 4 \
+            and not any(re.search(r"\s", t) for t in self.added)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if self._between_spaces.search(t) else t.replace(" ", "\0 ").split("\0")
-                  if "\0" not in t else None for t in texts]
-        new = set()
-        for p in pieces:
-            if p:
-                new.update(p)
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        new -= self.cache.keys()
-        halves = {p: m.groups() for p in new if (m := self._marked(p))}
-        parts = new - halves.keys()
-        for pair in halves.values():
-            parts.update(pair)
-        parts = list(parts - self.cache.keys())
-        self.cache.update(zip(parts, self._whole(parts)))
-        for p, (letters, marks) in halves.items():
-            self.cache[p] = self.cache[letters] + self.cache[marks]
+        pieces = [self._cut(t) for t in texts]
+        self._fill(set(chain.from_iterable(filter(None, pieces))))
         whole = iter(self._whole([t for t, p in zip(texts, pieces) if p is None]))
         get = self.cache.__getitem__
         return [next(whole) if p is None else b"".join(map(get, p)) for p in pieces]
 
+    def _cut(self, text: str) -> list[str] | None:
+        if not self.cuts or "\0" in text or any(t in text for t in self.added):
+            return None
+        if not self._two_spaces(text):
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return None if self._between_spaces(text) else text.replace(" ", "\0 ").split("\0")
+
+    def _fill(self, pieces: set[str]) -> None:
+        """Bring ``pieces`` into the young generation."""
+        if len(self.cache) > CACHE_PIECES // 2:
+            self.before, self.cache = self.cache, {}
+        new = self._missing(pieces)
+        halves = {p: m.groups() for p in new if (m := self._marked(p))}
+        parts = new - halves.keys() | self._missing(set(chain.from_iterable(halves.values())))
+        lines = list(filter(self._line, parts))
+        self.cache.update(zip(lines, self._lines(lines)))
+        others = list(parts.difference(lines))
+        self.cache.update(zip(others, self._whole(others)))
+        for p, (letters, marks) in halves.items():
+            self.cache[p] = self.cache[letters] + self.cache[marks]
+
+    def _missing(self, pieces: set[str]) -> set[str]:
+        """Those that neither generation has."""
+        pieces = pieces.difference(self.cache)
+        kept = pieces & self.before.keys()
+        self.cache.update(zip(kept, map(self.before.__getitem__, kept)))
+        return pieces - kept
+
+    def _lines(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(pieces), LINES):
+            lines = pieces[i:i + LINES]
+            data, = self._whole(["\n".join(lines)])
+            at = np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(self.line_end, "<u4")) * 4
+            if len(at) == len(lines) - 1:
+                out += [data[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(data)])]
+            else:
+                out += self._whole(lines)
+        return out
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
 
 
 def worker_encoder(definition: str) -> Encoder:
-    """The encoder of this worker process, kept with its pieces from task to task."""
+    """The encoder of this worker process, kept with its pieces from task to task.  The
+    library starts no threads of its own there: Spark's tasks have the cores."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     kept = sys.__dict__.setdefault("_errorlab_encoders", {})
     key = hashlib.sha256(definition.encode()).hexdigest()
     if key not in kept:
