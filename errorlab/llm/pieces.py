@@ -40,8 +40,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 # The piece types of a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Distinct units, and pairs of pieces, that one worker remembers (two generations of half each).
-CACHE_UNITS = 400_000
+#: Distinct units (two generations of half each; parts of units have half), and pairs of pieces, that one worker remembers.
+CACHE_UNITS = 1_000_000
 CACHE_PAIRS = 1_000_000
 
 
@@ -73,7 +73,7 @@ class PieceModel:
         # Marks that touch no letter before them: a word and the marks behind it are units of their own.
         self.letters = {c for c in known if c.isalpha()}
         held = {p[1] for p in self.touch if p[0] in self.letters}
-        self.marks = "".join(c for c in known if not c.isalnum() and c != SPACE and c not in held)
+        self.marks = "".join(c for c in known if not c.isalnum() and c not in (SPACE, " ") and c not in held)
 
     def merge(self, text: str) -> list[str]:
         """``text`` merged from its characters: best score first, then leftmost."""
@@ -127,16 +127,18 @@ class PieceEncoder:
         """The encoding of a text of known characters, as pieces."""
         known, fits = self.pairs.get, self.fits
         out = [p for _, p in self.finder.iter_long(text)]  # longest matches, one after the other
-        if all(map(known, zip(out, out[1:]))):
+        n = 0
+        for pair in zip(out, out[1:]):
+            n += 1
+            ok = known(pair)
+            if not ok and (ok is not None or not fits(pair)):
+                break
+        else:
             return out
         # Up to the first pair that does not fit this is how backtracking begins as well.
-        n = next((i for i, pair in enumerate(zip(out, out[1:]), 1)
-                  if not (fits(pair) if (ok := known(pair)) is None else ok)), 0)
-        if not n:
-            return out
-        piece, out = out[n], out[:n]
-        at, size, reach = sum(map(len, out)), len(text), self.reach
         longest_prefix, within, shorter = self.finder.longest_prefix, self.within, self.shorter
+        piece, out = shorter[out[n]], out[:n]
+        at, size, reach = sum(map(len, out)), len(text), self.reach
         failed = bytearray(size // 8 + 1)  # places from which no continuation was found
         while True:
             while piece:
@@ -161,22 +163,26 @@ class PieceEncoder:
                 piece = out.pop()  # refused now, as its end is marked: shorter ones follow
                 at -= len(piece)
 
+    def code_of(self, text: str) -> bytes:
+        """The serialized ids of a text of any characters, not remembered itself."""
+        codes = []
+        for i, part in enumerate(self.model.unknown.split(text)):
+            if i % 2:
+                codes += [self.byte[b] for b in part.encode()]
+            elif part == text:
+                codes += map(self.code.__getitem__, self.pieces(part))
+            elif part:
+                codes.append(self.unit(part))
+        return b"".join(codes)
+
     def run(self, text: str) -> bytes:
         code = self.runs.get(text)
         if code is None:
-            codes = []
-            for i, part in enumerate(self.model.unknown.split(text)):
-                if i % 2:
-                    codes += [self.byte[b] for b in part.encode()]
-                elif part == text:
-                    codes += map(self.code.__getitem__, self.pieces(part))
-                elif part:
-                    codes.append(self.unit(part))
-            code = self.runs[text] = b"".join(codes)
+            code = self.runs[text] = self.code_of(text)
         return code
 
     def unit(self, text: str) -> bytes:
-        if len(self.runs) > CACHE_UNITS:
+        if len(self.runs) > CACHE_UNITS // 2:
             self.runs.clear()
         word = text.rstrip(self.model.marks)
         if word and len(word) < len(text) and word[-1] in self.model.letters:
@@ -195,13 +201,30 @@ class TextEncoder:
         self.before: dict[str, bytes] = {}
 
     def _fill(self, keys: set[str]) -> None:
-        """Bring ``keys`` (units without their first space) into the young generation."""
+        """Bring ``keys`` (units without their first space) into the young generation.  A
+        word is remembered without the marks behind it too, as a unit that it also is."""
         if len(self.known) > CACHE_UNITS // 2:
             self.before, self.known = self.known, {}
-        unit, before, known = self.encoder.unit, self.before, self.known
-        for key in keys - known.keys():
-            kept = before.get(key)
-            known[key] = unit(SPACE + key.replace(" ", SPACE)) if kept is None else kept
+        known, before, model = self.known, self.before, self.encoder.model
+        unit, marks, letters = self.encoder.unit, model.marks, model.letters
+        new = keys - known.keys()
+        kept = new & before.keys()
+        known.update(zip(kept, map(before.__getitem__, kept)))
+        for key in new - kept:
+            word = key.rstrip(marks)
+            if not word or word == key or word[-1] not in letters:
+                known[key] = self._apart(key)
+                continue
+            code = known.get(word)
+            if code is None:
+                code = before.get(word)
+                if code is None:
+                    code = self._apart(word)
+                known[word] = code
+            known[key] = code + unit(key[len(word):])
+
+    def _apart(self, key: str) -> bytes:
+        return self.encoder.code_of(SPACE + key.replace(" ", SPACE))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         units = []

@@ -99,3 +99,18 @@ def test_query(spark, sf, library):
         digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert (r.n_tokens, r.ids_sha256) == (len(ids), digest)
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_words_are_remembered_once(data, library):
+    """A word is kept as one unit, with or without marks behind it, not twice over."""
+    fresh = pieces.TextEncoder(pieces.PieceModel(data))
+    words = [f"{a}{b}ing" for a in "bcdfghjklm" for b in "aeiou"]
+    searched = []
+    search = fresh.encoder.pieces
+    fresh.encoder.pieces = lambda text: searched.append(text) or search(text)
+    for text in (" ".join(words), ", ".join(words)):
+        assert ids_of(fresh, text) == library.encode(text)
+    assert sum(t.startswith(pieces.SPACE) for t in searched) == len(words)
+    fresh = pieces.TextEncoder(pieces.PieceModel(data))
+    fresh([" ".join(words)])
+    assert len(fresh.known) + len(fresh.encoder.runs) == len(words)
