@@ -36,7 +36,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 DICTIONARY_BYTES = 64 << 10
 BLOCK_BYTES = 1 << 20
-CACHE_PIECES = 300_000
+CACHE_PIECES = 1_200_000
 LINES = 1000
 
 BLOCKS = ("part long, block long, first_id long, last_id long, doc_ids array<long>, offsets array<long>, "
