@@ -18,14 +18,15 @@ An empty table gives files without blocks.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import os
 import re
 import sys
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,14 @@ BLOCK_BYTES = 1 << 20
 CACHE_PIECES = 1_200_000
 LINES = 1000
 
+#: What Python calls a space, for Arrow's regular expressions.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Ranges of nothing but letters since Unicode 5, so to Python, Arrow and the library alike.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ώЀ-ҁ"
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The character that byte-level tokenizers write for each byte.
+BYTE_CHARS = "".join(chr(b if b in _PRINTED else 256 + b - sum(p < b for p in _PRINTED)) for b in range(256))
+
 BLOCKS = ("part long, block long, first_id long, last_id long, doc_ids array<long>, offsets array<long>, "
           "n_tokens array<long>, payload binary, dictionary_sha256 string")
 
@@ -51,59 +60,75 @@ class Encoder:
     two spaces meet may be cut before every blank and around every line end, one without
     a blank between two spaces before every blank, and the pieces' ids be joined.  Other
     texts, those that hold an added token, and all texts of other kinds of tokenizers are
-    encoded in one go.  Letters and the marks behind them never join either, so a new
-    piece that ends in marks is made of two smaller ones.
+    encoded in one go.  Letters and the marks behind them never join either: cut there too.
 
-    The library gets new pieces many at a time, as lines of one text; the ids of the line
-    ends tell them apart.  Two generations of pieces are kept, of half the bound each:
-    what is in use goes on from the old one to the young one.
+    Arrow cuts the texts, finds a batch's distinct pieces and joins their ids; Python sees
+    the distinct pieces only.  The library gets new pieces many at a time, as lines of one
+    text; the ids of the line ends tell them apart.  Lines of nothing but letters need no
+    splitting, so the library's model gets them as they are.  Two generations of pieces
+    are kept, of half the bound each: what is in use goes on from the old one to the young one.
     """
 
-    _between_spaces = re.compile(r"\s \s").search
-    _two_spaces = re.compile(r"\s\s").search
-    _marked = re.compile(r"( ?[^\W\d_]+)([.,;:!?%&*$#]+)").fullmatch
     _line = re.compile(r" ?\S+").fullmatch
+    _word = re.compile(f" ?[{LETTERS}]+").fullmatch
+    _words = re.compile(f" ?[{LETTERS}]++(?:\n ?[{LETTERS}]++)*+").fullmatch
 
     def __init__(self, definition: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.cache: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_word = False
         self.line_end = self._whole(["\n"])[0]
         kind = self.tokenizer.pre_tokenizer
         self.cuts = isinstance(kind, pre_tokenizers.ByteLevel) and kind.use_regex and not kind.add_prefix_space \
             and self.tokenizer.normalizer is None and len(self.line_end) == 4 \
             and not any(re.search(r"\s", t) for t in self.added)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [self._cut(t) for t in texts]
-        self._fill(set(chain.from_iterable(filter(None, pieces))))
-        whole = iter(self._whole([t for t, p in zip(texts, pieces) if p is None]))
-        get = self.cache.__getitem__
-        return [next(whole) if p is None else b"".join(map(get, p)) for p in pieces]
-
-    def _cut(self, text: str) -> list[str] | None:
-        if not self.cuts or "\0" in text or any(t in text for t in self.added):
-            return None
-        if not self._two_spaces(text):
-            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return None if self._between_spaces(text) else text.replace(" ", "\0 ").split("\0")
+        self.by_word = self.cuts and isinstance(self.tokenizer.model, models.BPE) \
+            and self.tokenizer.truncation is None and self.tokenizer.padding is None \
+            and not any(map(self._word, self.added))
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if not self.cuts or not len(texts):
+            return self._whole(texts.to_pylist())
+        one_go = pc.match_substring_regex(texts, f"\\x00|{SPACE} {SPACE}")
+        for t in self.added:
+            one_go = pc.or_(one_go, pc.match_substring(texts, t))
+        cut = pc.replace_substring_regex(pc.if_else(one_go, "", texts), f"([{LETTERS}])([.,;:!?%&*$#])", "\\1\0\\2")
+        cut = pc.replace_substring(cut, " ", "\0 ")
+        lines = pc.replace_substring(cut, "\n", "\0\n\0")
+        rows = pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, SPACE + SPACE), cut, lines), "\0")
+        pieces = rows.flatten().dictionary_encode()
+        ids = self._ids(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()).take(pieces.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[rows.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        whole = iter(self._whole(texts.filter(one_go).to_pylist()))
+        return [next(whole) if g else data[a:b].tobytes() for g, a, b in zip(one_go.to_pylist(), ends, ends[1:])]
+
+    def _ids(self, pieces: list[str]) -> pa.Array:
+        """The serialized ids of distinct pieces."""
+        found = list(map(self.cache.get, pieces))
+        new = [i for i, x in enumerate(found) if x is None]
+        self._fill({pieces[i] for i in new})
+        for i in new:
+            found[i] = self.cache[pieces[i]]
+        return pa.array(found, pa.large_binary())
 
     def _fill(self, pieces: set[str]) -> None:
         """Bring ``pieces`` into the young generation."""
         if len(self.cache) > CACHE_PIECES // 2:
             self.before, self.cache = self.cache, {}
         new = self._missing(pieces)
-        halves = {p: m.groups() for p in new if (m := self._marked(p))}
-        parts = new - halves.keys() | self._missing(set(chain.from_iterable(halves.values())))
-        lines = list(filter(self._line, parts))
+        words = list(filter(self._word, new))
+        self.cache.update(zip(words, self._lines(words)))
+        new.difference_update(words)
+        lines = list(filter(self._line, new))
         self.cache.update(zip(lines, self._lines(lines)))
-        others = list(parts.difference(lines))
+        others = list(new.difference(lines))
         self.cache.update(zip(others, self._whole(others)))
-        for p, (letters, marks) in halves.items():
-            self.cache[p] = self.cache[letters] + self.cache[marks]
 
     def _missing(self, pieces: set[str]) -> set[str]:
         """Those that neither generation has."""
@@ -125,9 +150,20 @@ class Encoder:
         return out
 
     def _whole(self, texts: list[str]) -> list[bytes]:
+        if self.by_word and len(texts) == 1 and self._words(texts[0]):
+            return [self._letters(texts[0])]
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
 
+    def _letters(self, text: str) -> bytes:
+        """Lines of letters: the library's model on each, written as its bytes' characters."""
+        tokenize, (end,) = self.tokenizer.model.tokenize, np.frombuffer(self.line_end, "<u4").tolist()
+        ids = []
+        for word in codecs.charmap_decode(text.encode(), "strict", BYTE_CHARS)[0].split(BYTE_CHARS[10]):
+            ids += [t.id for t in tokenize(word)]
+            ids.append(end)
+        return np.array(ids[:-1], "<u4").tobytes()
+
 
 def worker_encoder(definition: str) -> Encoder:
     """The encoder of this worker process, kept with its pieces from task to task.  The
@@ -147,7 +183,7 @@ def serialized(docs: DataFrame, definition: str, end_id: int) -> DataFrame:
     def step(batches):
         encode = worker_encoder(definition)
         for b in text_steps(batches):
-            ids = encode(b.column("text").to_pylist())
+            ids = encode(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x + end for x in ids], pa.binary())],
                                              ["doc_id", "ids"])
 
@@ -190,7 +226,7 @@ def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int = END_
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=level, dict_data=shared)
         for b in text_steps(batches):
-            ids = [x + end for x in encode(b.column("text").to_pylist())]
+            ids = [x + end for x in encode(b.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), longs([len(x) // 4 for x in ids]),
                  pa.array([packer.compress(x) for x in ids], pa.binary())], ["doc_id", "n_tokens", "frame"])

@@ -72,3 +72,70 @@ def test_other_tokenizers_encode_whole_texts():
     encoder = to.Encoder(json.dumps(other))
     texts = ["a b\nc", "one two.", ""]
     assert not encoder.cuts and encoder(texts) == library(encoder, texts)
+
+
+def test_arrow_arrays_and_slices_give_the_same_ids():
+    import pyarrow as pa
+
+    encoder = to.Encoder(DEFINITION)
+    texts = odd_texts()[:600]
+    for kind in (pa.string(), pa.large_string()):
+        assert encoder(pa.array(texts, kind)[7:503]) == library(encoder, texts[7:503])
+    assert encoder([]) == [] and encoder(["", ""]) == [b"", b""]
+
+
+def test_words_and_marks_are_remembered_apart():
+    encoder = to.Encoder(DEFINITION)
+    texts = ["One, two. two! two\nthree&&&", "Ünï, два. λόγος! two... a.b,c 3.5 x.\n y"]
+    assert encoder(texts) == library(encoder, texts)
+    assert {"One", " two", "three", "Ünï", " два", " λόγος", ",", ".", "!", "&&&"} <= encoder.cache.keys()
+    assert not any(p[-1] in ",.!&" and p[:-1].strip(" ").isalpha() for p in encoder.cache if p)
+
+
+def test_lines_of_letters_skip_the_splitter():
+    encoder = to.Encoder(DEFINITION)
+    whole = []
+
+    class Counted:
+        model = encoder.tokenizer.model
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            whole.extend(texts)
+            return original.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+        encode_batch = encode_batch_fast
+
+    original, encoder.tokenizer = encoder.tokenizer, Counted()
+    got = encoder(["some words, größere Wörter\nи слова 12 it's"])
+    encoder.tokenizer = original
+    assert got == library(encoder, ["some words, größere Wörter\nи слова 12 it's"])
+    assert not any("words" in t or "größere" in t or "слова" in t for t in whole)
+
+
+def test_letters_spaces_and_byte_characters_are_the_library_s():
+    import re
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from tokenizers import pre_tokenizers
+
+    chars = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    letters = [c for c in chars if re.fullmatch(f"[{to.LETTERS}]", c)]
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    assert len(letters) > 600
+    for c in letters:
+        cut = split.pre_tokenize_str(f" a{c}b.")
+        assert [p for p, _ in cut] == ["".join(to.BYTE_CHARS[b] for b in f" a{c}b".encode()), "."]
+    assert set(to.BYTE_CHARS) == set(pre_tokenizers.ByteLevel.alphabet()) and len(to.BYTE_CHARS) == 256
+    assert pc.match_substring_regex(pa.array(chars), to.SPACE).to_pylist() == [c.isspace() for c in chars]
+
+
+def test_an_added_word_of_letters_is_one_id():
+    import json
+
+    other = json.loads(DEFINITION)
+    other["added_tokens"].append(dict(other["added_tokens"][0], id=50257, content="zebra"))
+    encoder = to.Encoder(json.dumps(other))
+    texts = ["zebra", "a zebra", "zebras\nmore", "other words"]
+    assert encoder(texts) == library(encoder, texts)
+    assert [encoder([t]) for t in texts] == [[x] for x in library(encoder, texts)]
