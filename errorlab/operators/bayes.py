@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 MILLION = 1_000_000
 #: Counts up to which a model is sent to the tasks, and scores that a task holds at once.
@@ -48,9 +48,11 @@ def _answer(labels, bases, starts, posts, weights, found, sizes, row_ends):
     feature ``f`` are ``posts[starts[f]:starts[f + 1]]`` (class numbers); ``found``: the rows'
     features, -1 for unknown ones.  Whole numbers below 2^53 throughout, so sums are exact."""
     out, k = np.empty(len(sizes), np.int64), len(labels)
-    step = max(1, CELLS // k)
-    for a in range(0, len(sizes), step):
-        z = min(a + step, len(sizes))
+    step, a = max(1, CELLS // k), 0
+    # postings up to each row: a step holds at most about CELLS of them (or one row's)
+    upto = np.concatenate(([0], np.cumsum(np.where(found >= 0, starts[found + 1] - starts[np.maximum(found, 0)], 0))))[row_ends]
+    while a < len(sizes):
+        z = min(a + step, len(sizes), max(a + 1, int(np.searchsorted(upto, upto[a] + CELLS, "right")) - 1))
         rows = np.repeat(np.arange(z - a), row_ends[a + 1:z + 1] - row_ends[a:z])
         f = found[row_ends[a]:row_ends[z]]
         rows, f = rows[f >= 0], f[f >= 0]
@@ -60,23 +62,48 @@ def _answer(labels, bases, starts, posts, weights, found, sizes, row_ends):
         sums = np.bincount(cell, weights[at], (z - a) * k).astype(np.int64).reshape(z - a, k)
         sums += bases[0] + sizes[a:z, None] * bases[1]
         out[a:z] = labels[np.argmax(sums, 1)]  # the first of equal ones, the smallest label
+        a = z
     return out
 
 
+def _packed(posts: DataFrame, by, n: int) -> DataFrame:
+    """``posts`` with one row per model and feature: its labels (64 bits each) and, for each
+    smoothing constant, its weights (32 bits each) as bytes, packed in the tasks."""
+    held = posts.groupBy(*by, "feature").agg(F.collect_list(F.struct("label", *[f"_w{i}" for i in range(n)])).alias("_p"))
+    schema = StructType(held.schema.fields[:-1] + [StructField(c, BinaryType()) for c in ["labels", *[f"_w{i}" for i in range(n)]]])
+
+    def step(batches):
+        for b in batches:
+            lists = b.column(b.num_columns - 1)
+            flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            columns = [flat.field(0).to_numpy().astype(np.int64), *[flat.field(1 + i).to_numpy().astype(np.int32) for i in range(n)]]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array([c[s:e].tobytes() for s, e in zip(ends, ends[1:])], pa.binary())
+                                                                 for c in columns]], schema.names)
+
+    return held.mapInArrow(step, schema)
+
+
 def _predict_in_tasks(by, rows: DataFrame, carried, posts: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     """``predict`` with the model in every task: each row is scored where it is, no shuffle."""
     models = {}
-    for r in classes.orderBy(*by, "label").toPandas().groupby(by, dropna=False):
-        t = r[1]
-        models[tuple(r[0])] = {"labels": t["label"].to_numpy(np.int64),
-                               "bases": [(t[f"_p{i}"].to_numpy(np.int64), t[f"_u{i}"].to_numpy(np.int64)) for i in range(n)]}
-    for r in posts.orderBy(*by, "feature").toPandas().groupby(by, dropna=False):
-        t, m = r[1], models[tuple(r[0])]
-        numbers, names = t["feature"].factorize()
-        order = np.argsort(numbers, kind="stable")
-        m |= {"names": pa.array(names, pa.string()), "starts": np.concatenate(([0], np.cumsum(np.bincount(numbers)))),
-              "posts": np.searchsorted(m["labels"], t["label"].to_numpy(np.int64)[order]).astype(np.int32),
-              "weights": [t[f"_w{i}"].to_numpy(float)[order] for i in range(n)]}
+    def by_model(t: pa.Table):
+        places = {}
+        for i, key in enumerate(zip(*(t.column(c).to_pylist() for c in by))):
+            places.setdefault(key, []).append(i)
+        return ((key, t.take(pa.array(some))) for key, some in places.items())
+
+    for key, t in by_model(classes.orderBy(*by, "label").toArrow()):  # a row per class
+        models[key] = {"labels": t["label"].to_numpy().astype(np.int64),
+                       "bases": [(t[f"_p{i}"].to_numpy().astype(np.int64), t[f"_u{i}"].to_numpy().astype(np.int64)) for i in range(n)]}
+    # the counts come packed, 12 bytes each (4 more per further constant), not as rows
+    for key, t in by_model(_packed(posts, by, n).toArrow()):
+        def joined(column, kind):
+            return np.frombuffer(b"".join(x.as_buffer() for x in t[column]), kind)
+
+        many = [x.as_buffer().size // 8 for x in t["labels"]]
+        models[key] |= {"names": t["feature"].combine_chunks(), "starts": np.concatenate(([0], np.cumsum(many))),
+                        "posts": np.searchsorted(models[key]["labels"], joined("labels", np.int64)).astype(np.int32),
+                        "weights": [joined(f"_w{i}", np.int32) for i in range(n)]}
     shared = rows.sparkSession.sparkContext.broadcast(models)
     answers = [f"prediction_{i}" for i in range(n)]
     out = rows.select(*carried, *by, "_f")
@@ -103,7 +130,7 @@ def _predict_in_tasks(by, rows: DataFrame, carried, posts: DataFrame, classes: D
                     found = pc.fill_null(pc.index_in(flat, value_set=m["names"], skip_nulls=True), -1).to_numpy(zero_copy_only=False)
                     post = (m["starts"], m["posts"], m["weights"])
                 else:
-                    found, post = np.full(len(flat), -1), (np.zeros(1, int), np.zeros(0, int), [np.zeros(0)] * n)
+                    found, post = np.full(len(flat), -1), (np.zeros(1, int), np.zeros(0, int), [np.zeros(0, np.int32)] * n)
                 ends = np.concatenate(([0], np.cumsum(np.maximum(sizes, 0))))
                 known[places] = sizes >= 0
                 for i in range(n):
