@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Sequence
 from itertools import accumulate
@@ -30,6 +31,8 @@ MILLION = 1_000_000
 START = "^"
 #: Cost of an operation that the model has never seen.
 UNSEEN = -math.log(1e-6)
+#: Words, and pairs of words, that a task remembers at most.
+REMEMBERED = 200_000
 
 
 def expected_operations(word: str, error: str) -> Counter:
@@ -117,27 +120,42 @@ class EditModel:
         self.rate = {c: max(1, sums[-1] * MILLION // max(seen[c], 1)) for c, (_, sums) in self.table.items()}
         self.cost = {(op, c, to): -math.log(n / seen[c]) for c, e in edits.items() if c
                      for (op, to), n in e.items() if 0 < n <= seen[c]}
+        self._words: dict = {}  # what a task has worked out: rates of a word, distance of a pair
+        self._pairs: dict = {}
 
     @classmethod
     def collected(cls, model: DataFrame) -> EditModel:
         rows = model.select("op", "from_ch", "to_ch", "n").filter(F.col("n") > 0).collect()  # bounded by the alphabet
         return cls([tuple(r) for r in rows])
 
+    @staticmethod
+    def _held(memory: dict, key, made):
+        """``made(key)``, remembered; at most ``REMEMBERED`` answers are kept."""
+        if (found := memory.get(key)) is None:
+            if len(memory) >= REMEMBERED:
+                memory.clear()
+            found = memory[key] = made(key)
+        return found
+
+    def _places(self, word: str) -> tuple[list[str], list[int]]:
+        """The table's keys of the word's places, and the running sums of their error rates."""
+        places = [c if c in self.table else "" for c in START + word]
+        rates = [self.rate[c] for c in places]
+        if START not in self.table:
+            rates[0] = 0
+        return places, list(accumulate(rates))
+
     def corrupt(self, word: str, key: str, n: int, seed: int) -> str:
         """``word`` after ``n`` drawn operations; its last character is never deleted."""
         for step in range(n if self.table else 0):
             u, v = (int(hashlib.md5(f"{seed}|{salt}|{key}|{step}".encode()).hexdigest()[:8], 16)
                     for salt in ("noise:place", "noise:edit"))
-            places = [c if c in self.table else "" for c in START + word]
-            rates = [self.rate[c] for c in places]
-            if START not in self.table:
-                rates[0] = 0
-            sums = list(accumulate(rates))
+            places, sums = self._held(self._words, word, self._places)
             if not sums[-1]:
                 return word
-            at = next(i for i, x in enumerate(sums) if u % sums[-1] < x)
+            at = bisect_right(sums, u % sums[-1])
             ops, counts = self.table[places[at]]
-            op, to = next(o for o, x in zip(ops, counts) if v % counts[-1] < x)
+            op, to = ops[bisect_right(counts, v % counts[-1])]
             if op == "insert":  # behind the place; all that happens at the start is an insertion
                 word = word[:at] + to + word[at:]
             elif op == "replace":
@@ -148,6 +166,10 @@ class EditModel:
 
     def distance(self, word: str, error: str) -> float:
         """Least cost (negative log probability) of turning ``word`` into ``error``."""
+        return self._held(self._pairs, (word, error), self._distance)
+
+    def _distance(self, pair: tuple[str, str]) -> float:
+        word, error = pair
         cost, last = self.cost, None
         for i in range(len(word) + 1):
             row = []
