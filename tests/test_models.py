@@ -43,3 +43,16 @@ def test_tokens_without_a_vector_stay(spark):
         (1, 0): [1.0, -2.0], (1, 1): None, (1, 2): None, (2, 0): None}
     pooled = X.max_pool(out, "doc_id", 2).collect()
     assert {(r.doc_id, r.dim): r.max_v for r in pooled} == {(1, 0): 1.0, (1, 1): -2.0, (2, 0): None, (2, 1): None}
+
+
+def test_detector_answers_every_test_example(spark):
+    got = E.queries()["L1_train_detector"](spark, SF_SMALL)
+    fx = Fx(spark, SF_SMALL)
+    ex = Q._split(Q.spellings(fx).select("example_id", "context_id", "corrupt_token"), "context_id").filter("split = 'test'")
+    words = {r.term for r in Q.dictionary(fx).collect()}
+    want = sorted((r.example_id, float(r.corrupt_token in words)) for r in ex.collect())
+    rows = got.collect()
+    assert sorted((r.example_id, r.label) for r in rows) == want
+    assert sum(r.label == r.prediction for r in rows) / len(rows) > 0.7
+    # equal spellings get one answer, made once: scores are joined to the examples
+    assert "Join" in got._jdf.queryExecution().optimizedPlan().toString().split("UDF")[0]
